@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -31,3 +32,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute a scan that has fewer splits than the cluster has cores.
+
+    Meant for small inputs in front of heavy work per row.  A large table has splits
+    enough and is left where it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Marks a table for broadcast after counting it; a larger one is left to Catalyst."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
