@@ -20,8 +20,8 @@ from .operators.knn import nearest, nearest_to_one
 from .operators.results import file_path, sources_per_query, source_listing, with_packs
 from .plans import ask as A
 from .plans import index as I
-from .session import cut_lineage, new_folder, spread
-from .settings import MAX_TOKENS, WEB_CHUNK_OVERLAP, WEB_CHUNK_SIZE, Settings
+from .session import broadcast_if_small, cut_lineage, new_folder, spread
+from .settings import WEB_CHUNK_OVERLAP, WEB_CHUNK_SIZE, Settings
 from .sources import filetree
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,8 @@ IGNORE = ["*.md", "src1/", "src2/*/1*", "src[34]/fr/*", "!src5/en", "src6/d?/*",
 INCLUDED = [".py", ".js", ".java", ".cpp", ".h"]
 EXCLUDED = ["src8", "*7.py", ".git", "node_modules"]
 MAX_SIZE = 20000
+# Labels whose first vectors may be broadcast (about 30 MB).
+MOST_LABELS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,8 +126,10 @@ def _similarity(method: str) -> Query:
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All measures between each vector and the first vector of its label."""
     e = table(spark, sf_dir, "embeddings")
-    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("other"))
-    pair = e.join(first, "label")
+    ids = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    ids = broadcast_if_small(ids, MOST_LABELS)
+    first = e.join(ids, ["label", "vec_id"]).select("label", F.col("embedding").alias("other"))
+    pair = e.join(broadcast_if_small(first, MOST_LABELS), "label")
     return pair.select(
         "vec_id",
         *(F.round(V.similarity("embedding", "other", m), 6).alias(m) for m in V.METHODS),
@@ -189,8 +193,9 @@ def line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The built-in embedder's vectors, one row per entry that is not zero."""
     vectors = with_embedding(texts(spark, sf_dir), hash_embedder(DIM))
+    # The outer kind: a plain one adds a filter that would run the embedder twice.
     return (
-        vectors.select("doc_id", F.posexplode("embedding").alias("pos", "value"))
+        vectors.select("doc_id", F.posexplode_outer("embedding").alias("pos", "value"))
         .filter("value <> 0")
         .withColumn("value", F.round(F.col("value").cast("double"), 6))
     )

@@ -8,53 +8,61 @@ without any hit is 'unknown'.  All of it is one expression per row: no join.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
 
-# (language, pattern, weight); ASCII classes only, no look-around.
-RULES: tuple[tuple[str, str, int], ...] = (
-    ("bash", r"^#!\s*/[^\n]*\b(ba|z|k)?sh\b", 8),
-    ("bash", r"(?m)^\s*(fi|done|esac)\s*$", 3),
-    ("c", r"(?m)^\s*#\s*include\s*<[a-z_/]+\.h>", 4),
-    ("c", r"\b(malloc|printf|sizeof)\s*\(", 2),
-    ("c++", r"(?m)^\s*#\s*include\s*<[a-z_]+>", 4),
-    ("c++", r"\b(std::|template\s*<|namespace\s+\w+)", 4),
-    ("css", r"(?m)^\s*[.#]?[a-z][\w-]*\s*\{[^{}]*:[^{}]*;", 3),
-    ("go", r"(?m)^package\s+\w+\s*$", 4),
-    ("go", r"(?m)^func\s+(\([^)\n]*\)\s*)?\w+\s*\(", 4),
-    ("html", r"(?i)<!doctype\s+html", 8),
-    ("html", r"(?i)<(html|head|body|div|span|table)[\s>]", 3),
-    ("java", r"\bpublic\s+(static\s+)?(final\s+)?(class|interface|void|enum)\b", 4),
-    ("java", r"(?m)^import\s+(static\s+)?[a-z]+(\.\w+)+(\.\*)?;", 4),
-    ("javascript", r"\bfunction\s*\w*\s*\([^)\n]*\)\s*\{", 3),
-    ("javascript", r"\b(const|let)\s+\w+\s*=|=>\s*\{|\bconsole\.log\(", 3),
-    ("json", r"^\s*[{\[]\s*\"\w+\"\s*[:,]", 4),
-    ("python", r"(?m)^\s*def\s+\w+\s*\([^)]*\)\s*(->[^:\n]+)?:", 4),
-    ("python", r"(?m)^\s*(import\s+\w+|from\s+[\w.]+\s+import\s)", 3),
-    ("python", r"(?m)^\s*(class\s+\w+[^:\n]*:|elif\s|except\b)", 3),
-    ("python", r"(?m)^if\s+__name__\s*==", 6),
-    ("rust", r"\bfn\s+\w+\s*(<[^>\n]*>)?\([^)]*\)\s*(->[^{\n]+)?\{", 4),
-    ("rust", r"\b(let\s+mut\s|impl\s+\w+|println!)", 3),
-    ("sql", r"(?i)\bselect\b[^;]*\bfrom\b[^;]*\b(where|group\s+by|join)\b", 4),
-    ("sql", r"(?i)\bcreate\s+(table|view)\b", 4),
-    ("xml", r"^\s*<\?xml\s", 8),
+Rule = tuple[str, tuple[str, ...], str, int]
+
+# (language, literals, pattern, weight).  Every match holds one of the literals: texts
+# without any are told apart by a plain byte search.  ASCII classes only, no look-around,
+# and no pattern whose search can run over a long text more than once.
+RULES: tuple[Rule, ...] = (
+    ("bash", ("#!",), r"^#![ \t]*/[^\n ]*(/|env )(ba|z|k)?sh\b", 8),
+    ("bash", ("fi", "done", "esac"), r"\n[ \t]*(fi|done|esac)[ \t]*\n", 3),
+    ("c", ("#include",), r"#include <[a-z_/]+\.h>", 4),
+    ("c", ("malloc", "printf", "sizeof"), r"\b(malloc|printf|sizeof) ?\(", 2),
+    ("c++", ("#include",), r"#include <[a-z_]+>", 4),
+    ("c++", ("std::", "template"), r"\bstd::\w|\btemplate ?<", 4),
+    ("css", ("{",), r"\{\s*[a-z-]+: ?[^;{}\n]{1,80};", 3),
+    ("go", ("package ",), r"(^|\n)package [a-z]\w*\n", 4),
+    ("go", ("\nfunc ",), r"\nfunc [\w(]", 4),
+    ("html", ("<!",), r"<!(doctype|DOCTYPE) html", 8),
+    ("html", ("<",), r"</?(html|head|body|div|span|table)[ >]", 3),
+    ("java", ("public ",), r"\bpublic (static |final |abstract )*(class|interface|void|enum)\b", 4),
+    ("java", ("import ",), r"(^|\n)import (static )?[a-z]+\.[\w.]+;", 4),
+    ("javascript", ("function",), r"\bfunction ?\w* ?\([\w, ]*\) ?\{", 3),
+    ("javascript", ("const ", "let ", "=> {", "console.log("),
+     r"\b(const|let) \w+ =|=> \{|\bconsole\.log\(", 3),
+    ("json", ("{", "["), r"^\s*[{\[]\s*\"\w+\" ?[:,]", 4),
+    ("python", ("def ",), r"(^|\n)[ \t]*def \w+ ?\(", 4),
+    ("python", ("import ",), r"(^|\n)(import \w+\n|from [\w.]+ import )", 3),
+    ("python", ("class ", "elif ", "except"),
+     r"\n[ \t]*(class \w+[^:;{}\n]{0,80}:|elif |except\b)", 3),
+    ("python", ("__name__",), r"\nif __name__ ==", 6),
+    ("rust", ("fn ",), r"\bfn \w+ ?[<(]", 4),
+    ("rust", ("let mut ", "impl ", "println!"), r"\blet mut |\bimpl \w+ for |\bprintln!\(", 3),
+    ("sql", ("select ", "SELECT "),
+     r"\b(select|SELECT) [\w.*]+(, ?[\w.*]+){0,99}\s(from|FROM) \w", 4),
+    ("sql", ("create ", "CREATE "), r"\b(create|CREATE) (table|view|TABLE|VIEW) ", 4),
+    ("xml", ("<?xml ",), r"^\s*<\?xml ", 8),
 )
 
 
 def language_label(
-    text: Column | str, rules: Sequence[tuple[str, str, int]] = RULES
+    text: Column | str, rules: Sequence[Rule] = RULES
 ) -> Column:
     """The lower-case name of the best scoring language."""
     text = F.col(text) if isinstance(text, str) else text
-    names = sorted({name.lower() for name, _, _ in rules}, reverse=True)
+    names = sorted({rule[0].lower() for rule in rules}, reverse=True)
     scored = []
     for place, name in enumerate(names):
         hits = [
-            F.when(text.rlike(pattern), weight).otherwise(0)
-            for lang, pattern, weight in rules
+            F.when(_holds(text, literals) & text.rlike(pattern), weight).otherwise(0)
+            for lang, literals, pattern, weight in rules
             if lang.lower() == name
         ]
         total = hits[0]
@@ -65,3 +73,7 @@ def language_label(
                                F.lit(name).alias("name")))
     best = F.array_max(F.array(*scored))
     return F.when(best["score"] > 0, best["name"]).otherwise(F.lit(UNKNOWN))
+
+
+def _holds(text: Column, literals: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in literals])

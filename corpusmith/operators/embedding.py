@@ -1,8 +1,9 @@
 """Turning texts into unit vectors, one Arrow batch at a time.
 
 An embedder is a name, a dimension and a factory.  The factory runs once per task on
-the executor (a place to open a model) and gives a function from a list of texts to
-a matrix.  The built-in one hashes words and needs no model files.
+the executor (a place to open a model) and gives a function from a list of texts (or
+from an Arrow array of them) to a matrix.  The built-in one hashes words and needs no
+model files.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from pyspark.sql import types as T
 
 from ..settings import BATCH_SIZE, VECTOR_DIM
 
-_WORD_GAP = r"[^a-z0-9_]+"
 # Texts hashed at a time: the matrix of counts stays small.
-_HASH_ROWS = 2048
+_HASH_ROWS = 8192
+# Bytes as they count in a lower-case text: word characters stay, all others part words.
+_WORD_BYTES = np.full(256, ord(" "), dtype=np.uint8)
+for _c in b"abcdefghijklmnopqrstuvwxyz0123456789_":
+    _WORD_BYTES[_c] = _c
 
 
 @dataclass(frozen=True)
@@ -31,18 +35,19 @@ class Embedder:
 
     name: str
     dim: int
-    open: Callable[[], Callable[[list[str]], np.ndarray]]
+    open: Callable[[], Callable[..., np.ndarray]]
     batch_size: int = BATCH_SIZE
     normalize: bool = True
+    takes_arrow: bool = False
 
 
 def hash_embedder(dim: int = VECTOR_DIM) -> Embedder:
     """Signed feature hashing of the lower-case words of a text."""
 
-    def start() -> Callable[[list[str]], np.ndarray]:
-        return lambda texts: _hash_words(pa.array(texts, pa.string()), dim)
-
-    return Embedder(name=f"hash-{dim}", dim=dim, open=start, batch_size=_HASH_ROWS)
+    return Embedder(
+        name=f"hash-{dim}", dim=dim, open=lambda: lambda texts: _hash_words(texts, dim),
+        batch_size=_HASH_ROWS, takes_arrow=True,
+    )
 
 
 def embedding(
@@ -85,7 +90,7 @@ def with_embedding(
 
 
 def _encode(
-    encode: Callable[[list[str]], np.ndarray],
+    encode: Callable[..., np.ndarray],
     texts: pa.Array,
     embedder: Embedder,
     on_error: str,
@@ -94,7 +99,8 @@ def _encode(
     if not len(known):
         return pa.nulls(len(texts), pa.list_(pa.float32()))
     try:
-        matrix = np.asarray(encode(known.to_pylist()), dtype=np.float64)
+        given = known if embedder.takes_arrow else known.to_pylist()
+        matrix = np.asarray(encode(given), dtype=np.float64)
         if matrix.shape != (len(known), embedder.dim):
             raise ValueError(
                 f"model gave shape {matrix.shape}, expected {(len(known), embedder.dim)}"
@@ -122,7 +128,7 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 def _hash_words(texts: pa.Array, dim: int) -> np.ndarray:
     """Signed word counts per position; the caller scales them to unit length."""
-    lists = pc.split_pattern_regex(pc.utf8_lower(texts), _WORD_GAP)
+    lists = pc.ascii_split_whitespace(_only_words(texts))
     words = lists.flatten().dictionary_encode()
     row = np.repeat(
         np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
@@ -138,3 +144,13 @@ def _hash_words(texts: pa.Array, dim: int) -> np.ndarray:
     cell = row * dim + (codes % dim)[which]
     counts = np.bincount(cell, weights=sign[which], minlength=len(texts) * dim)
     return counts.reshape(len(texts), dim)
+
+
+def _only_words(texts: pa.Array) -> pa.Array:
+    """Lower-case texts with a blank for every byte outside [a-z0-9_]."""
+    lower = pa.concat_arrays([pc.utf8_lower(texts)]).cast(pa.large_string())
+    _, offsets, data = lower.buffers()
+    if data is None:
+        return lower
+    kept = _WORD_BYTES[np.frombuffer(data, dtype=np.uint8)]
+    return pa.LargeStringArray.from_buffers(len(lower), offsets, pa.py_buffer(kept))

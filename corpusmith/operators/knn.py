@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import check_method, squared_l2
+from ..session import cut_lineage
 
 INDEX_METHOD = "l2"
 # Order among neighbours is by the value rounded to this many digits, then by id.
@@ -52,12 +53,10 @@ def nearest(
         raise ValueError(f"k must be positive, not {k}")
     if method != INDEX_METHOD:
         check_method(method)
-    q = queries.select(
-        F.col(query_id).alias("q_id"), F.col(query_vector).alias("v")
-    ).filter("v IS NOT NULL")
-    x = vectors.select(
-        F.col(vector_id).alias("x_id"), F.col(vector).alias("v")
-    ).filter("v IS NOT NULL")
+    # Rows without a vector are dropped inside the tasks: a filter on the vector would
+    # run the embedder it may come from a second time.
+    q = queries.select(F.col(query_id).alias("q_id"), F.col(query_vector).alias("v"))
+    x = vectors.select(F.col(vector_id).alias("x_id"), F.col(vector).alias("v"))
     fits = _collect_if_small(q, broadcast_bytes)
     if fits is not None:
         best = _against_all(q, x, fits, k, method)
@@ -122,12 +121,11 @@ def _against_all(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        if table.num_rows == 0:
+        best = _Best.of([table], k, method)
+        if best is None:
             return
-        best = _Best(_column(table, "q_id"), _matrix(_column(table, "v")), k, method)
         for batch in batches:
-            if batch.num_rows:
-                best.add(batch.column("x_id"), _matrix(batch.column("v")))
+            best.add(batch)
         yield from best.rows()
 
     # Each task sends k rows per query, so no more tasks than keep the cluster busy.
@@ -140,6 +138,7 @@ def _grid(
 ) -> DataFrame:
     """Queries in blocks times vectors in slices; every pair meets in exactly one cell."""
     spark = q.sparkSession
+    q = cut_lineage(q)
     blocks = max(1, -(-q.count() // block_queries))
     wanted = cells or 4 * spark.sparkContext.defaultParallelism
     slices = max(1, -(-wanted // blocks))
@@ -169,15 +168,12 @@ def _grid(
                     yield from best.rows()
                 cell, pending, best = run_cell, [], None
             if side == 0:
-                pending.append(run)
+                pending.append(pa.Table.from_batches([run]))
                 continue
             if best is None:
-                if not pending:
-                    continue
-                table = pa.Table.from_batches(pending)
-                best = _Best(_column(table, "q_id"), _matrix(_column(table, "v")), k, method)
-                pending = []
-            best.add(run.column("x_id"), _matrix(run.column("v")))
+                best, pending = _Best.of(pending, k, method), []
+            if best is not None:
+                best.add(run)
         if best is not None:
             yield from best.rows()
 
@@ -223,7 +219,22 @@ class _Best:
         self.bound = np.full(len(matrix), np.inf)
         self.kept: pa.Table | None = None
 
-    def add(self, ids: pa.Array, rows: np.ndarray) -> None:
+    @classmethod
+    def of(cls, tables: list[pa.Table], k: int, method: str) -> _Best | None:
+        """For the queries that have a vector; None where there are none."""
+        if not tables:
+            return None
+        table = pa.concat_tables(tables)
+        table = table.filter(pc.is_valid(table.column("v")))
+        if not table.num_rows:
+            return None
+        return cls(_column(table, "q_id"), _matrix(_column(table, "v")), k, method)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        batch = batch.filter(pc.is_valid(batch.column("v")))
+        if not batch.num_rows:
+            return
+        ids, rows = batch.column("x_id"), _matrix(batch.column("v"))
         if rows.shape[1] != self.matrix.shape[1]:
             raise ValueError(
                 f"query dimension {self.matrix.shape[1]} does not match {rows.shape[1]}"

@@ -70,7 +70,7 @@ def with_packs(
     packs = F.aggregate(F.col("hits._tokens"), start, step, lambda acc: acc["packs"])
     return (
         rows.withColumn("_zip", F.arrays_zip(F.col("hits"), packs.alias("pack_no")))
-        .select("query_id", F.explode("_zip").alias("_z"))
+        .select("query_id", F.explode_outer("_zip").alias("_z"))
         .select("query_id", "_z.hits.*", F.col("_z.pack_no"))
         .withColumnRenamed("_tokens", "n_tokens")
     )

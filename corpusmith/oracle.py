@@ -208,7 +208,7 @@ def oracle_sql() -> dict[str, str]:
     types = values(mime.mime_rows())
     shorts = values([(a, b[: b.index(".", 1)]) for a, b in mime.compound_rows()])
     packed = ", ".join(text(e) for e in mime.encodings())
-    rules = values([(n.lower(), p, w) for n, p, w in language.RULES])
+    rules = values([(n.lower(), p, w) for n, _, p, w in language.RULES])
     excluded = values([(p,) for p in C.EXCLUDED])
     included = ", ".join(text(e) for e in C.INCLUDED)
     return {

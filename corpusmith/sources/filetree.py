@@ -64,6 +64,7 @@ def list_files(
         spark.read.format(FORMAT)
         .option("root", root)
         .option("recursive", str(recursive).lower())
+        .option("tasks", str(2 * spark.sparkContext.defaultParallelism))
         .load()
     )
     return files if include_hidden else files.filter(~is_hidden("rel_path"))
@@ -156,12 +157,12 @@ def _with_texts(
     )
 
 
-class _Folder(InputPartition):
-    """One folder: only the files in it, or all of its subtree."""
+class _Folders(InputPartition):
+    """Folders one task lists: (path, whether with its subtree)."""
 
-    def __init__(self, path: str, whole: bool):
-        super().__init__(path)
-        self.path, self.whole = path, whole
+    def __init__(self, folders: list[tuple[str, bool]]):
+        super().__init__(folders)
+        self.folders = folders
 
 
 class FileTree(DataSource):
@@ -176,34 +177,39 @@ class FileTree(DataSource):
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _TreeReader(
-            self.options["root"], self.options.get("recursive", "true") == "true"
+            self.options["root"],
+            self.options.get("recursive", "true") == "true",
+            int(self.options.get("tasks", "64")),
         )
 
 
 class _TreeReader(DataSourceReader):
-    def __init__(self, root: str, recursive: bool):
-        self.root, self.recursive = root, recursive
+    def __init__(self, root: str, recursive: bool, tasks: int):
+        self.recursive, self.tasks = recursive, tasks
         self.system, self.base = open_folder(root)
         # Paths come back in the form the root was given in.
         self.shown = root.rstrip("/")
 
     def partitions(self) -> list[InputPartition]:
         if not self.recursive:
-            return [_Folder(self.base, False)]
+            return [_Folders([(self.base, False)])]
+        enough = max(_TOP_FOLDERS, 4 * self.tasks)
         opened: list[str] = []
         level = [self.base]
-        while level and len(opened) + len(level) < _TOP_FOLDERS:
+        while level and len(opened) + len(level) < enough:
             opened += level
             level = [d for folder in level for d in self._entries(folder)[0]]
-        return [_Folder(d, False) for d in opened] + [_Folder(d, True) for d in level]
+        folders = [(d, True) for d in level] + [(d, False) for d in opened]
+        return [_Folders(folders[i :: self.tasks]) for i in range(min(self.tasks, len(folders)))]
 
-    def read(self, partition: _Folder) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Folders) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        todo = [partition.path]
+        todo = list(partition.folders)
         while todo:
-            folders, files = self._entries(todo.pop())
-            if partition.whole:
-                todo += folders
+            folder, whole = todo.pop()
+            folders, files = self._entries(folder)
+            if whole:
+                todo += [(d, True) for d in folders]
             for info in files:
                 rows.append(self._row(info))
                 if len(rows) == _ROWS:
