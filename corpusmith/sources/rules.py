@@ -6,14 +6,12 @@ import posixpath
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from .filetree import open_folder
 
 IGNORE_FILE = ".gitignore"
 
-PROJECT_SCHEMA = T.StructType.fromDDL(
-    """
+PROJECT_SCHEMA = """
     id STRING, name STRING, root_path STRING,
     settings STRUCT<
         llm_name STRING, temperature DOUBLE, chunk_size INT, chunk_overlap INT,
@@ -21,7 +19,6 @@ PROJECT_SCHEMA = T.StructType.fromDDL(
         max_file_size BIGINT, index_update_frequency STRING>,
     created_at TIMESTAMP, updated_at TIMESTAMP
     """
-)
 
 
 def ignore_rules(root: str) -> list[str]:
