@@ -336,6 +336,15 @@ def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chunk_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, chunks and tokens by language and ending, with subtotals."""
+    docs = spread(files(spark, sf_dir).select("doc_id", "lang", "ext", "content"), "doc_id")
+    chunks = chunk_lines(docs, SMALL.chunk_size, SMALL.chunk_overlap)
+    return corpus.chunk_profile(chunks, "lang", "ext").withColumn(
+        "grouping", F.col("grouping").cast("long")
+    )
+
+
 def load_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The message after loading the collection."""
     docs = table(spark, sf_dir, "documents")
@@ -499,6 +508,7 @@ QUERIES: dict[str, Query] = {
     "refresh_plan": refresh_plan,
     "refresh_index": refresh_index,
     "corpus_profile": corpus_profile,
+    "chunk_profile": chunk_profile,
     "load_status": load_status,
     "file_extensions": file_extensions,
     "mime_types": mime_types,

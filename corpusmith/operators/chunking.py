@@ -74,16 +74,20 @@ def chunk_windows(
         F.ceil(F.greatest(F.lit(0), F.size("_tokens") - overlap) / F.lit(step)).cast("int") - 1,
     )
     others = [c for c in docs.columns if c != text]
+
+    def window(k: Column) -> Column:
+        part = F.slice("_tokens", k * step + 1, size)
+        return F.struct(F.array_join(part, " ").alias("text"), F.size(part).alias("n"))
+
+    # Windows are made inside the row: exploding first would copy all tokens into each.
+    # The outer kind of explode, since a plain one adds a filter that cuts the text twice.
     return (
         docs.filter(F.col(text).isNotNull())
         .withColumn("_tokens", tokens(text))
-        .withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
-        .withColumn("_part", F.slice("_tokens", F.col("chunk_no") * step + 1, size))
+        .withColumn("_windows", F.transform(F.sequence(F.lit(0), last), window))
+        .select(*others, F.posexplode_outer("_windows").alias("chunk_no", "_w"))
         .select(
-            *others,
-            F.array_join("_part", " ").alias(text),
-            "chunk_no",
-            F.size("_part").alias("n_tokens"),
+            *others, F.col("_w.text").alias(text), "chunk_no", F.col("_w.n").alias("n_tokens")
         )
     )
 

@@ -18,7 +18,7 @@ def extensions(files: DataFrame) -> DataFrame:
 def profile(files: DataFrame, *by: str, size: str = "size") -> DataFrame:
     """Files and bytes per combination of columns, with subtotals and a total.
 
-    NULL in a column marks a subtotal (`level` counts the columns summed over).
+    `grouping` tells subtotals from rows: one bit per column that was summed over.
     """
     return files.rollup(*by).agg(
         F.grouping_id().alias("grouping"),
@@ -27,6 +27,16 @@ def profile(files: DataFrame, *by: str, size: str = "size") -> DataFrame:
     )
 
 
+def chunk_profile(chunks: DataFrame, *by: str) -> DataFrame:
+    """The same for chunks; a file is counted at its first chunk."""
+    return chunks.rollup(*by).agg(
+        F.grouping_id().alias("grouping"),
+        F.count_if(F.col("chunk_no") == 0).alias("n_files"),
+        F.count("*").alias("n_chunks"),
+        F.sum("n_tokens").alias("n_tokens"),
+    )
+
+
 def files_per_folder(files: DataFrame) -> DataFrame:
     """Counts listed files, also those that could not be read."""
     return files.groupBy("dir").agg(F.count("*").alias("n_files"))

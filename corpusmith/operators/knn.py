@@ -199,7 +199,7 @@ def _column(table: pa.Table, name: str) -> pa.Array:
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
-    """Vectors of one size as rows of a matrix."""
+    """Vectors of one size as rows of a matrix, without a copy where there are no gaps."""
     sizes = pc.list_value_length(lists)
     bounds = pc.min_max(sizes)
     if bounds["min"].as_py() != bounds["max"].as_py():
@@ -207,15 +207,32 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     flat = lists.flatten()
     if flat.null_count:
         raise ValueError("a vector has a NULL entry")
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    return flat.to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _squares(rows: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", rows, rows, dtype=np.float64)
 
 
 class _Best:
-    """The k best rows per query seen so far; never more than k per query kept."""
+    """The k best rows per query seen so far; never more than k per query kept.
+
+    A block of rows is first sifted by a matrix product in the rows' own precision, with
+    room for its rounding errors; the few pairs that pass are computed exactly.
+    """
 
     def __init__(self, ids: pa.Array, matrix: np.ndarray, k: int, method: str):
-        self.ids, self.matrix, self.k, self.method = ids, matrix, k, method
-        self.squares = np.einsum("ij,ij->i", matrix, matrix)
+        self.ids, self.k, self.method = ids, k, method
+        self.matrix = matrix.astype(np.float64)
+        self.squares = _squares(self.matrix)
+        self.length = np.sqrt(self.squares)
+        factor = np.ones(len(matrix))
+        if method == "cosine":
+            factor = np.divide(1.0, self.length, out=factor, where=self.length > 0)
+        elif method != "dot":
+            factor *= 2.0
+        self.left = -factor[:, None] * self.matrix
+        self.left32 = self.left.astype(np.float32)
         self.bound = np.full(len(matrix), np.inf)
         self.kept: pa.Table | None = None
 
@@ -231,7 +248,8 @@ class _Best:
         return cls(_column(table, "q_id"), _matrix(_column(table, "v")), k, method)
 
     def add(self, batch: pa.RecordBatch) -> None:
-        batch = batch.filter(pc.is_valid(batch.column("v")))
+        if batch.column("v").null_count:
+            batch = batch.filter(pc.is_valid(batch.column("v")))
         if not batch.num_rows:
             return
         ids, rows = batch.column("x_id"), _matrix(batch.column("v"))
@@ -243,34 +261,46 @@ class _Best:
         for start in range(0, len(rows), step):
             self._add_block(ids.slice(start, step), rows[start : start + step])
 
-    def _add_block(self, ids: pa.Array, rows: np.ndarray) -> None:
-        q, x = self._candidates(rows)
-        if len(q) > 8 * self.k * len(self.matrix) and len(rows) > self.k:
-            # Many ties: of equal vectors only the k smallest ids can ever be chosen.
-            ids, rows = _thin_copies(ids, rows, self.k)
-            q, x = self._candidates(rows)
+    def _add_block(self, ids: pa.Array, rows: np.ndarray, thin: bool = True) -> None:
+        near, own, room = self._sift(rows)
+        limit = self._near(self.bound) - own + room
+        passed = near <= limit[:, None]
+        if len(rows) > self.k and np.count_nonzero(passed) > 8 * self.k * len(near):
+            # Nothing known yet, or better rows than before, or many ties.
+            if thin:
+                fewer_ids, fewer = _thin_copies(ids, rows, self.k)
+                if 2 * len(fewer) < len(rows):
+                    return self._add_block(fewer_ids, fewer, False)
+            own_best = np.partition(near, self.k - 1, axis=1)[:, self.k - 1] + 2 * room
+            passed = near <= np.minimum(limit, own_best)[:, None]
+        q, x = np.nonzero(passed)
         if len(q):
             self._merge(q, ids.take(pa.array(x)), self._exact(q, x, rows))
 
-    def _candidates(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs that may be among the k best, with room for rounding errors."""
-        squares = np.einsum("ij,ij->i", rows, rows)
-        product = self.matrix @ rows.T
-        if self.method == "dot":
-            near = -product
-        elif self.method == "cosine":
-            length = np.sqrt(self.squares)[:, None] * np.sqrt(squares)[None, :]
-            near = np.full_like(product, np.inf)
-            np.divide(-product, length, out=near, where=length > 0)
-        else:
-            near = self.squares[:, None] + squares[None, :] - 2 * product
-        if near.shape[1] > self.k:
-            bound = np.partition(near, self.k - 1, axis=1)[:, self.k - 1]
+    def _sift(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray | float, np.ndarray]:
+        """Approximate keys without the query's own part, that part, and the room that
+        rounding errors need: more than a product of so many terms can be off."""
+        squares = _squares(rows)
+        longest = np.sqrt(squares.max())
+        single = rows.dtype == np.float32 and max(longest, self.length.max()) < 1e15
+        left = self.left32 if single else self.left
+        own: np.ndarray | float = 0.0
+        if self.method == "cosine":
+            length = np.sqrt(squares)
+            right = rows / np.where(length > 0, length, 1.0)[:, None].astype(rows.dtype)
+            near = left @ right.T.astype(left.dtype, copy=False)
+            near[:, length == 0] = np.inf
+            near[self.length == 0] = np.inf
+            size = np.ones(len(left))
         else:
-            bound = np.full(len(near), np.inf)
-        bound = np.minimum(bound, self._near(self.bound))
-        room = 1e-8 * (1.0 + self.squares + (squares.max() if len(squares) else 0.0))
-        return np.nonzero(near <= (bound + room)[:, None])
+            near = left @ rows.T.astype(left.dtype, copy=False)
+            size = self.length * longest
+            if self.method != "dot":
+                near += squares.astype(left.dtype)
+                own, size = self.squares, (self.length + longest) ** 2
+        unit = 2.0**-24 if single else 2.0**-53
+        # The first part is for keys that differ by less than they are rounded to.
+        return near, own, 1e-8 * (1 + size) + 8 * (rows.shape[1] + 8) * unit * size
 
     def _near(self, key: np.ndarray) -> np.ndarray:
         # The bound is kept as a key; for 'euclidean' the product gives its square.
@@ -282,7 +312,7 @@ class _Best:
         step = max(1, BLOCK_CELLS // max(1, rows.shape[1]))
         for start in range(0, len(q), step):
             a = self.matrix[q[start : start + step]]
-            b = rows[x[start : start + step]]
+            b = rows[x[start : start + step]].astype(np.float64)
             if self.method in (INDEX_METHOD, "euclidean"):
                 value = np.einsum("ij,ij->i", a - b, a - b)
                 if self.method == "euclidean":

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from . import catalog as C
 from .functions import language, mime
-from .operators.history import RANGE
 from .settings import (
     DEFAULT_MIME, NO_INDEX_MESSAGE, SOURCES_HEADER, SUCCESS_PREFIX, SUCCESS_SUFFIX,
     WEB_CHUNK_OVERLAP, WEB_CHUNK_SIZE,
@@ -149,7 +148,6 @@ SEARCH = f"""WITH RECURSIVE {SMALL_CHUNKS}, {FILES},
 
 def packs(name: str, source: str, budget: int) -> str:
     """CTE `name` (query_id, rank, pack_no): greedy packs of consecutive ranks."""
-    fits = f"used + nt <= {budget}"
     return f"""
     {name} AS (
         SELECT query_id, rank, 0 AS pack_no, nt AS used FROM {source} WHERE rank = {{first}}
@@ -314,6 +312,12 @@ def oracle_sql() -> dict[str, str]:
         ELSE 0 END AS BIGINT) AS grouping,
         count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes
     FROM documents GROUP BY ROLLUP (lang, source)""",
+        "chunk_profile": f"""
+    WITH RECURSIVE {SMALL_CHUNKS}, {FILES}
+    SELECT f.lang, f.ext, CAST(CASE WHEN GROUPING(f.lang) = 1 THEN 3 WHEN GROUPING(f.ext) = 1 THEN 1
+        ELSE 0 END AS BIGINT) AS grouping, count(DISTINCT f.doc_id) AS n_files,
+        count(*) AS n_chunks, CAST(sum(c.n_tokens) AS BIGINT) AS n_tokens
+    FROM chunk c JOIN file f ON CAST(f.doc_id AS VARCHAR) = c.doc_id GROUP BY ROLLUP (f.lang, f.ext)""",
         "load_status": f"""
     SELECT count(*) AS n_documents, 'ok' AS status,
         '{SUCCESS_PREFIX}' || count(*) || '{SUCCESS_SUFFIX}' AS message FROM documents""",

@@ -14,12 +14,14 @@ from ..operators.knn import nearest
 from ..operators.results import (
     file_path, packed_context, search_result, source_listing, sources_per_query, with_packs,
 )
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 from ..settings import ERROR_PREFIX, MAX_TOKENS, NO_INDEX_MESSAGE, SYSTEM_PROMPT
 from .index import Index
 
 # Ids looked up by value, so that storage can skip what holds none of them.
 _MOST_IDS = 10_000
+# Hits without texts that may be broadcast (about 100 MB).
+_MOST_BROADCAST = 500_000
 # Rounds of summarising before it is an error that texts do not get shorter.
 _MOST_LEVELS = 30
 
@@ -41,13 +43,13 @@ def with_rows(hits: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """hits joined with the rows of a stored table they point to.
 
     Few hits: their ids go into the scan as a filter (a bloom filter on the key lets it
-    skip nearly everything) and the hits are broadcast.  Many: a plain join.
+    skip nearly everything) and the hits are broadcast.  More hits are only broadcast,
+    and beyond a limit it is a plain join.
     """
     ids = hits.select(key).distinct().limit(_MOST_IDS + 1).collect()
-    if len(ids) > _MOST_IDS:
-        return hits.join(table, key)
-    found = table.filter(F.col(key).isin([r[0] for r in ids]))
-    return found.join(F.broadcast(hits), key)
+    if len(ids) <= _MOST_IDS:
+        table = table.filter(F.col(key).isin([r[0] for r in ids]))
+    return table.join(broadcast_if_small(hits, _MOST_BROADCAST), key)
 
 
 def similar(index: Index, snippets: DataFrame, k: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ the whole cluster.  Names starting with '_' or '.' are listed like all others.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -231,8 +232,6 @@ class _TreeReader(DataSourceReader):
         """Linked folders are not followed: they could lead back up."""
         if not isinstance(self.system, fs.LocalFileSystem):
             return False
-        import os
-
         return os.path.islink(path)
 
     def _row(self, info: fs.FileInfo) -> tuple:
