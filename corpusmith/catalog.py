@@ -302,7 +302,7 @@ def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two states of the collection: Spanish texts are new, toxic ones are gone, French
     ones were rewritten in lower case."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
     old = docs.filter("lang <> 'es'")
     new = docs.join(toxic, "doc_id", "left_anti").withColumn(
@@ -321,9 +321,7 @@ def refresh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of the old state brought to the new one; equal to building it anew."""
     old, new = snapshots(spark, sf_dir)
     path = new_folder(spark, "refresh")
-    index = I.build_index(
-        spread(with_metadata(old), "doc_id"), path, SMALL, hash_embedder(DIM)
-    )
+    index = I.build_index(with_metadata(old), path, SMALL, hash_embedder(DIM))
     return _stored(I.refresh_index(index, with_metadata(new)))
 
 

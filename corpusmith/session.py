@@ -1,4 +1,4 @@
-"""The few things asked of a session: a shared folder and reliable checkpoints."""
+"""The few things asked of a session: a shared folder and tables written to it."""
 
 from __future__ import annotations
 
@@ -26,12 +26,18 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: survives the loss of any executor."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    """The rows written to the shared folder and read from there.
+
+    Computed once, safe from the loss of any executor, and of a size Catalyst knows.
+    """
+    folder = new_folder(df.sparkSession, "step")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Marks a table for broadcast after counting it; a larger one is left to Catalyst."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -42,8 +48,3 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Marks a table for broadcast after counting it; a larger one is left to Catalyst."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
