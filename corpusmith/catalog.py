@@ -90,11 +90,14 @@ _built: dict[tuple[str, str], str] = {}
 def corpus_index(spark: SparkSession, sf_dir: str) -> I.Index:
     """The index of all documents, built once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
-        path = new_folder(spark, "index")
-        I.build_index(index_input(spark, sf_dir), path, SMALL, hash_embedder(DIM))
-        _built[key] = path
-    return I.load_index(spark, _built[key], hash_embedder(DIM))
+    embedder = hash_embedder(DIM)
+    if key in _built:
+        try:
+            return I.load_index(spark, _built[key], embedder)
+        except FileNotFoundError:  # the shared folder was emptied meanwhile
+            pass
+    _built[key] = new_folder(spark, "index")
+    return I.build_index(index_input(spark, sf_dir), _built[key], SMALL, embedder)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ INDEX_METHOD = "l2"
 DIGITS = 9
 BROADCAST_BYTES = 64 << 20
 BLOCK_QUERIES = 16384
+# Vectors one cell of the grid streams, roughly at most.
+SLICE_ROWS = 1 << 22
 # Cells of a product of queries and vectors held at once in a task.
 BLOCK_CELLS = 1 << 22
 
@@ -141,7 +143,7 @@ def _grid(
     q = cut_lineage(q)
     blocks = max(1, -(-q.count() // block_queries))
     wanted = cells or 4 * spark.sparkContext.defaultParallelism
-    slices = max(1, -(-wanted // blocks))
+    slices = max(1, -(-wanted // blocks), -(-x.count() // SLICE_ROWS))
     q_side = q.select(
         F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
@@ -232,6 +234,9 @@ class _Best:
         elif method != "dot":
             factor *= 2.0
         self.left = -factor[:, None] * self.matrix
+        if method in (INDEX_METHOD, "euclidean"):
+            # One more column adds the squares of the rows inside the product.
+            self.left = np.column_stack([self.left, np.ones(len(matrix))])
         self.left32 = self.left.astype(np.float32)
         self.bound = np.full(len(matrix), np.inf)
         self.kept: pa.Table | None = None
@@ -257,23 +262,20 @@ class _Best:
             raise ValueError(
                 f"query dimension {self.matrix.shape[1]} does not match {rows.shape[1]}"
             )
+        ids, rows = _thin_copies(ids, rows, self.k)
         step = max(1, BLOCK_CELLS // len(self.matrix))
         for start in range(0, len(rows), step):
             self._add_block(ids.slice(start, step), rows[start : start + step])
 
-    def _add_block(self, ids: pa.Array, rows: np.ndarray, thin: bool = True) -> None:
+    def _add_block(self, ids: pa.Array, rows: np.ndarray) -> None:
         near, own, room = self._sift(rows)
         limit = self._near(self.bound) - own + room
         passed = near <= limit[:, None]
         if len(rows) > self.k and np.count_nonzero(passed) > 8 * self.k * len(near):
-            # Nothing known yet, or better rows than before, or many ties.
-            if thin:
-                fewer_ids, fewer = _thin_copies(ids, rows, self.k)
-                if 2 * len(fewer) < len(rows):
-                    return self._add_block(fewer_ids, fewer, False)
-            own_best = np.partition(near, self.k - 1, axis=1)[:, self.k - 1] + 2 * room
-            passed = near <= np.minimum(limit, own_best)[:, None]
-        q, x = np.nonzero(passed)
+            # Nothing known yet, or better rows than before: the block bounds itself.
+            best = np.partition(near, self.k - 1, axis=1)[:, self.k - 1] + 2 * room
+            passed = near <= np.minimum(limit, best)[:, None]
+        q, x = np.divmod(np.flatnonzero(passed), len(rows))
         if len(q):
             self._merge(q, ids.take(pa.array(x)), self._exact(q, x, rows))
 
@@ -292,12 +294,15 @@ class _Best:
             near[:, length == 0] = np.inf
             near[self.length == 0] = np.inf
             size = np.ones(len(left))
-        else:
+        elif self.method == "dot":
             near = left @ rows.T.astype(left.dtype, copy=False)
             size = self.length * longest
-            if self.method != "dot":
-                near += squares.astype(left.dtype)
-                own, size = self.squares, (self.length + longest) ** 2
+        else:
+            right = np.empty((len(rows), left.shape[1]), dtype=left.dtype)
+            right[:, :-1] = rows
+            right[:, -1] = squares
+            near = left @ right.T
+            own, size = self.squares, (self.length + longest) ** 2
         unit = 2.0**-24 if single else 2.0**-53
         # The first part is for keys that differ by less than they are rounded to.
         return near, own, 1e-8 * (1 + size) + 8 * (rows.shape[1] + 8) * unit * size
@@ -354,13 +359,18 @@ class _Best:
 def _thin_copies(
     ids: pa.Array, rows: np.ndarray, k: int
 ) -> tuple[pa.Array, np.ndarray]:
-    """Of rows with equal vectors keep those with the k smallest ids."""
-    order = pc.sort_indices(ids).to_numpy()
-    rows = np.ascontiguousarray(rows[order]) + 0.0
-    whole = rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
-    _, group = np.unique(whole, return_inverse=True)
-    by_group = np.argsort(group, kind="stable")
-    sorted_group = group[by_group]
-    rank = np.arange(len(group)) - np.searchsorted(sorted_group, sorted_group, side="left")
-    keep = np.sort(by_group[rank < k])
-    return ids.take(pa.array(order[keep])), rows[keep]
+    """Of many rows with one vector keep the k smallest ids: no other can be chosen."""
+    # Equal rows nearly always get equal marks; groups are compared before rows are cut.
+    mark = rows @ np.random.default_rng(0).normal(size=rows.shape[1]).astype(rows.dtype)
+    order = np.argsort(mark, kind="stable")
+    starts = np.flatnonzero(np.diff(mark[order], prepend=np.nan) != 0)
+    sizes = np.diff(starts, append=len(rows))
+    keep = np.ones(len(rows), dtype=bool)
+    for start, size in zip(starts[sizes > 4 * k], sizes[sizes > 4 * k]):
+        group = order[start : start + size]
+        group = group[(rows[group] == rows[group[0]]).all(axis=1)]
+        by_id = pc.sort_indices(ids.take(pa.array(group))).to_numpy()
+        keep[group[by_id[k:]]] = False
+    if keep.all():
+        return ids, rows
+    return ids.filter(pa.array(keep)), rows[keep]

@@ -10,6 +10,7 @@ the whole cluster.  Names starting with '_' or '.' are listed like all others.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,7 +43,9 @@ _BATCH_BYTES = 32 << 20
 
 def open_folder(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a local path or a URI (file, hdfs, s3, …)."""
-    if "://" in path or path.startswith("file:"):
+    path = re.sub("^file:/+", "/", path)
+    path = re.sub("^s3[an]://", "s3://", path)
+    if "://" in path:
         system, inner = fs.FileSystem.from_uri(path)
         return system, inner.rstrip("/") or "/"
     return fs.LocalFileSystem(), path.rstrip("/") or "/"
@@ -63,10 +66,9 @@ def list_files(
     spark.dataSource.register(FileTree)
     files = (
         spark.read.format(FORMAT)
-        .option("root", root)
         .option("recursive", str(recursive).lower())
         .option("tasks", str(2 * spark.sparkContext.defaultParallelism))
-        .load()
+        .load(root)
     )
     return files if include_hidden else files.filter(~is_hidden("rel_path"))
 
@@ -167,7 +169,7 @@ class _Folders(InputPartition):
 
 
 class FileTree(DataSource):
-    """spark.read.format('filetree').option('root', …).load()"""
+    """spark.read.format('filetree').load(root), after the format was registered."""
 
     @classmethod
     def name(cls) -> str:
@@ -178,7 +180,7 @@ class FileTree(DataSource):
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _TreeReader(
-            self.options["root"],
+            self.options["path"],
             self.options.get("recursive", "true") == "true",
             int(self.options.get("tasks", "64")),
         )

@@ -61,6 +61,14 @@ def test_linked_folders_are_not_followed(spark, tmp_path):
     assert names(filetree.list_files(spark, str(tmp_path))) == ["a/x.py"]
 
 
+def test_uris(spark, tree):
+    for uri in ("file:" + tree, "file://" + tree):
+        files = filetree.scan(spark, uri)
+        one = files.filter("rel_path = 'deep/er/est/n.py'").first()
+        assert one["path"] == uri + "/deep/er/est/n.py" and one["content"] == "n\r\nn"
+        assert filetree.folder_exists(uri)
+
+
 def test_bodies_and_errors(spark, tree):
     files = filetree.scan(spark, tree)
     rows = {r["rel_path"]: r for r in files.collect()}
