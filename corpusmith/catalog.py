@@ -51,14 +51,16 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_files(docs: DataFrame) -> DataFrame:
-    """Documents as files of a tree: source/lang/doc_id with an ending per language."""
+    """Documents as files of a tree: source/lang/doc_id with an ending per language.
+
+    The size is in characters, which the table holds: no text is read for it."""
     ending = F.lit("")
     for lang, ext in EXTENSIONS.items():
         ending = F.when(F.col("lang") == lang, ext).otherwise(ending)
     rel = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), ending))
     return docs.select(
         "doc_id", "lang", "source", F.concat(F.lit(ROOT + "/"), rel).alias("path"),
-        rel.alias("rel_path"), F.octet_length("text").cast("long").alias("size"),
+        rel.alias("rel_path"), F.col("n_chars").alias("size"),
         F.col("text").alias("content"),
     ).select(
         "doc_id", "lang", "source", "path", relative("path", ROOT).alias("rel_path"),
@@ -310,7 +312,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     old = docs.filter("lang <> 'es'")
     new = docs.join(toxic, "doc_id", "left_anti").withColumn(
         "text", F.when(F.col("lang") == "fr", F.lower("text")).otherwise(F.col("text"))
-    )
+    ).withColumn("n_chars", F.length("text").cast("long"))
     return old, new
 
 
@@ -333,7 +335,7 @@ def refresh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.profile(files(spark, sf_dir), "lang", "source").select(
-        "lang", "source", F.col("grouping").cast("long").alias("grouping"), "n_files", "n_bytes"
+        "lang", "source", F.col("grouping").cast("long").alias("grouping"), "n_files", "size"
     )
 
 

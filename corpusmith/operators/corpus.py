@@ -16,14 +16,14 @@ def extensions(files: DataFrame) -> DataFrame:
 
 
 def profile(files: DataFrame, *by: str, size: str = "size") -> DataFrame:
-    """Files and bytes per combination of columns, with subtotals and a total.
+    """Files and their sizes per combination of columns, with subtotals and a total.
 
     `grouping` tells subtotals from rows: one bit per column that was summed over.
     """
     return files.rollup(*by).agg(
         F.grouping_id().alias("grouping"),
         F.count("*").alias("n_files"),
-        F.sum(size).alias("n_bytes"),
+        F.sum(size).alias("size"),
     )
 
 

@@ -73,10 +73,49 @@ def embedding(
             ]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
-    # Types of the argument and the result as the iterator kind of Arrow UDF wants them.
+    return _arrow_column(run, T.ArrayType(T.FloatType()), text)
+
+
+def pack(vector: Column | str) -> Column:
+    """A vector as its 32-bit floats in one BINARY value.
+
+    The form for storage: a scan hands it to Arrow as it is, where an array is taken
+    apart and put together again entry by entry.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            sizes = pc.list_value_length(lists).fill_null(0)
+            ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64) * 4
+            data = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            packed = pa.Array.from_buffers(
+                pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+            )
+            yield pc.if_else(lists.is_valid(), packed, None)
+
+    return _arrow_column(run, T.BinaryType(), vector)
+
+
+def unpack(packed: Column | str) -> Column:
+    """ARRAY<FLOAT> of a packed vector."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            values = pa.concat_arrays([values])
+            sizes = pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False) // 4
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            flat = np.frombuffer(b"".join(values.drop_null().to_pylist()), dtype=np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield pc.if_else(values.is_valid(), lists, None)
+
+    return _arrow_column(run, T.ArrayType(T.FloatType()), packed)
+
+
+def _arrow_column(run: Callable, kind: T.DataType, column: Column | str) -> Column:
+    # The argument and the result as the iterator kind of Arrow UDF wants them declared.
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    udf = F.arrow_udf(T.ArrayType(T.FloatType()))(run)
-    return udf(F.col(text) if isinstance(text, str) else text)
+    return F.arrow_udf(kind)(run)(F.col(column) if isinstance(column, str) else column)
 
 
 def with_embedding(

@@ -48,7 +48,8 @@ def nearest(
     """The k nearest vectors of every query, ranked from 1.
 
     method 'l2' is the index's own: column `distance`, squared, ascending.  The others
-    give `score`, bigger is closer; an undefined cosine is NULL and comes last.
+    give `score`, bigger is closer; an undefined cosine is NULL and comes last.  Vectors
+    are arrays or packed; in one call both sides have the same form.
     Columns: query_id, rank, vector_id and distance or score.
     """
     if k < 1:
@@ -100,7 +101,9 @@ def nearest_to_one(
 
 def _collect_if_small(q: DataFrame, limit: int) -> pa.Table | None:
     """The queries as an Arrow table if their vectors fit the limit, else None."""
-    size = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    packed = isinstance(q.schema["v"].dataType, T.BinaryType)
+    width = F.octet_length("v") / 4 if packed else F.size("v")
+    size = q.agg(F.count("*").alias("n"), F.max(width).alias("width")).first()
     if size["n"] * (size["width"] or 1) * 8 > limit:
         return None
     return q.toArrow()
@@ -201,7 +204,9 @@ def _column(table: pa.Table, name: str) -> pa.Array:
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
-    """Vectors of one size as rows of a matrix, without a copy where there are no gaps."""
+    """Vectors of one size, lists or packed, as rows of a matrix."""
+    if pa.types.is_binary(lists.type):
+        return _packed_matrix(lists)
     sizes = pc.list_value_length(lists)
     bounds = pc.min_max(sizes)
     if bounds["min"].as_py() != bounds["max"].as_py():
@@ -212,6 +217,17 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
+def _packed_matrix(values: pa.Array) -> np.ndarray:
+    bounds = pc.min_max(pc.binary_length(values))
+    width = bounds["max"].as_py()
+    if bounds["min"].as_py() != width or width % 4:
+        raise ValueError(f"packed vectors differ in dimension: {bounds.as_py()}")
+    _, offsets, data = values.buffers()
+    start = int(np.frombuffer(offsets, dtype=np.int32)[values.offset])
+    count = len(values) * (width // 4)
+    return np.frombuffer(data, np.float32, count, start).reshape(len(values), width // 4)
+
+
 def _squares(rows: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", rows, rows, dtype=np.float64)
 

@@ -127,7 +127,7 @@ ENDING = "CASE lang " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in C.EXTENSIONS.items()
 ) + " ELSE '' END"
 FILES = f"""
-    file AS (SELECT doc_id, lang, source, text AS content, strlen(text) AS size,
+    file AS (SELECT doc_id, lang, source, text AS content, n_chars AS size,
         source || '/' || lang || '/' || doc_id || {ENDING} AS rel_path,
         source || '/' || lang AS dir, doc_id || {ENDING} AS name, {ENDING} AS ext
         FROM documents)"""
@@ -178,7 +178,7 @@ BLOCK = (
     f" || {NL} || content || {NL}"
 )
 BUNDLE = f"""WITH {FILES},
-    total AS (SELECT source, sum(size) AS bytes FROM file GROUP BY source),
+    total AS (SELECT source, CAST(sum(size) AS BIGINT) AS bytes FROM file GROUP BY source),
     placed AS (SELECT source AS dir, rel_path, {BLOCK} AS block,
         CASE WHEN bytes > {C.PART_BYTES}
             THEN ('0x' || substr(md5(rel_path), 1, 8))::BIGINT % CAST(ceil(bytes / {C.PART_BYTES}) AS BIGINT)
@@ -310,7 +310,7 @@ def oracle_sql() -> dict[str, str]:
         "corpus_profile": """
     SELECT lang, source, CAST(CASE WHEN GROUPING(lang) = 1 THEN 3 WHEN GROUPING(source) = 1 THEN 1
         ELSE 0 END AS BIGINT) AS grouping,
-        count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes
+        count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS size
     FROM documents GROUP BY ROLLUP (lang, source)""",
         "chunk_profile": f"""
     WITH RECURSIVE {SMALL_CHUNKS}, {FILES}
@@ -363,7 +363,7 @@ def oracle_sql() -> dict[str, str]:
         "bundle_by_directory": f"""{BUNDLE}
     SELECT dir, part_no, n_files, md5(text) AS text_md5 FROM bundle""",
         "scan_tree": f"""
-    WITH {FILES} SELECT rel_path, dir, name, ext, size, sha256(content) AS content_sha FROM file""",
+    WITH {FILES} SELECT rel_path, dir, name, ext, strlen(content) AS size, sha256(content) AS content_sha FROM file""",
         "written_bundles": f"""{BUNDLE}
     SELECT 'concated/' || dir || '/' || dir || '_concatenated'
         || CASE WHEN part_no > 0 THEN '.part' || lpad(CAST(part_no AS VARCHAR), 5, '0') ELSE '' END

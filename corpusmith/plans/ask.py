@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stamp
-from ..operators.embedding import embedding
+from ..operators.embedding import embedding, pack
 from ..operators.knn import nearest
 from ..operators.results import (
     file_path, packed_context, search_result, source_listing, sources_per_query, with_packs,
@@ -31,11 +31,12 @@ Generator = Callable[[pd.DataFrame], list[str]]
 
 def search(index: Index, questions: DataFrame, k: int | None = None) -> DataFrame:
     """query_id, rank, chunk_id, distance for questions (query_id, query)."""
-    vectors = questions.select(
-        "query_id", embedding("query", index.embedder).alias("embedding")
+    asked = questions.select(
+        "query_id", pack(embedding("query", index.embedder)).alias("packed")
     )
     return nearest(
-        vectors, index.vectors, k or index.settings.top_k, vector_id="chunk_id"
+        asked, index.packed, k or index.settings.top_k, vector_id="chunk_id",
+        query_vector="packed", vector="packed",
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk_lines, with_links
-from ..operators.embedding import Embedder, embedding, hash_embedder
+from ..operators.embedding import Embedder, embedding, hash_embedder, pack, unpack
 from ..session import broadcast_if_small
 from ..settings import Settings
 
@@ -28,7 +28,7 @@ CHUNKS = (
     "end_line int, n_tokens bigint, prev_id string, next_id string, content string, "
     "metadata map<string,string>"
 )
-VECTORS = "chunk_id string, doc_id string, embedding array<float>"
+VECTORS = "chunk_id string, doc_id string, packed binary"
 MANIFEST = (
     "version int, model_name string, device string, embedding_dimension int, "
     "batch_size int, is_initialized boolean, chunk_size int, chunk_overlap int, "
@@ -62,9 +62,14 @@ class Index:
         return self.table("chunks")
 
     @property
-    def vectors(self) -> DataFrame:
+    def packed(self) -> DataFrame:
+        """chunk_id, doc_id and the vector as it is stored."""
         return self.table("vectors")
 
+    @property
+    def vectors(self) -> DataFrame:
+        return self.packed.select("chunk_id", "doc_id", unpack("packed").alias("embedding"))
+
     def info(self) -> DataFrame:
         """Model and size of this version, one row."""
         return _manifest(self.spark, self.path).filter(F.col("version") == self.version)
@@ -110,9 +115,8 @@ def make_chunks(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def make_vectors(chunks: DataFrame, embedder: Embedder, on_error: str = "raise") -> DataFrame:
-    return chunks.select(
-        "chunk_id", "doc_id", embedding("content", embedder, on_error).alias("embedding")
-    )
+    vector = embedding("content", embedder, on_error)
+    return chunks.select("chunk_id", "doc_id", pack(vector).alias("packed"))
 
 
 def _write(df: DataFrame, path: str, version: int, name: str, bloom: str | None = None) -> None:
@@ -180,7 +184,7 @@ def save_index(index: Index | None, path: str) -> None:
     )
     _write(index.documents, path, target.version, "documents", "doc_id")
     _write(index.chunks, path, target.version, "chunks", "chunk_id")
-    _write(index.vectors, path, target.version, "vectors")
+    _write(index.packed, path, target.version, "vectors")
     _commit(target)
 
 
@@ -232,7 +236,7 @@ def refresh_index(index: Index, docs: DataFrame, on_error: str = "raise") -> Ind
         gone = plan.filter(F.col("state").isin("removed", "changed")).select("doc_id")
         # Metadata may change without the text, so chunks are cut again; vectors are not.
         _write(make_chunks(new.documents, settings), path, new.version, "chunks", "chunk_id")
-        kept = index.vectors.join(
+        kept = index.packed.join(
             broadcast_if_small(gone, _MOST_BROADCAST), "doc_id", "left_anti"
         )
         made = make_vectors(
@@ -240,7 +244,7 @@ def refresh_index(index: Index, docs: DataFrame, on_error: str = "raise") -> Ind
             new.embedder, on_error,
         )
         _write(
-            kept.select("chunk_id", "doc_id", "embedding").unionByName(made),
+            kept.select("chunk_id", "doc_id", "packed").unionByName(made),
             path, new.version, "vectors",
         )
         return _commit(new)

@@ -75,8 +75,8 @@ def _index(
     spark: SparkSession, listing: DataFrame, path: str, settings: Settings,
     embedder: Embedder | None,
 ) -> tuple[Index | None, str, str]:
-    docs = as_documents(read_bodies(listing))
-    if docs.isEmpty():
+    if listing.isEmpty():
         return (None, *load_status(0))
-    index = build_index(docs, path, settings, embedder)
-    return (index, *load_status(index.info().first()["n_documents"]))
+    index = build_index(as_documents(read_bodies(listing)), path, settings, embedder)
+    found = index.info().first()["n_documents"]
+    return (index if found else None, *load_status(found))

@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.errors import PythonException
 
-from corpusmith.operators.embedding import Embedder, embedding, hash_embedder, with_embedding
+from corpusmith.operators.embedding import (
+    Embedder, embedding, hash_embedder, pack, unpack, with_embedding,
+)
 
 TEXTS = "doc_id int, content string"
 
@@ -74,3 +76,12 @@ def test_wrong_dimension_and_option(spark):
         with_embedding(df, length_model(3)).collect()
     with pytest.raises(ValueError):
         embedding("content", length_model(), on_error="skip")
+
+
+def test_packed_vectors(spark):
+    rows = [(1, [1.5, -2.0]), (2, None), (3, [0.0, 3.25]), (4, [])]
+    df = spark.createDataFrame(rows, "i int, v array<float>").coalesce(1)
+    packed = df.select("i", pack("v").alias("p"))
+    assert [r["p"] and len(r["p"]) for r in packed.orderBy("i").collect()] == [8, None, 8, bytearray()]
+    back = packed.select("i", unpack("p").alias("v")).orderBy("i").collect()
+    assert [tuple(r) for r in back] == rows

@@ -4,6 +4,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from corpusmith.functions import vectors as V
+from corpusmith.operators.embedding import pack
 from corpusmith.operators.knn import DIGITS, nearest, nearest_to_one
 
 VECTORS = "vec_id bigint, embedding array<float>"
@@ -87,6 +88,21 @@ def test_nearest_equals_brute_force(spark, method, grid):
     assert ranks(got) == sorted(brute(q, x, 4, method))
 
 
+@pytest.mark.parametrize("grid", [False, True])
+def test_packed_vectors_give_the_same(spark, grid):
+    rng = np.random.default_rng(3)
+    t = table(spark, [(i, rng.normal(size=5).tolist() if i % 9 else None) for i in range(80)])
+    p = t.select("vec_id", pack("embedding").alias("p")).repartition(3)
+    q = "query_id"
+    options = {"broadcast_bytes": 1, "block_queries": 30, "cells": 6} if grid else {}
+    plain = nearest(t.withColumnRenamed("vec_id", q), t, 4, **options)
+    packed = nearest(
+        p.withColumnRenamed("vec_id", q), p, 4, query_vector="p", vector="p", **options
+    )
+    assert sorted(plain.collect()) == sorted(packed.collect())
+    assert plain.count() == 4 * 71
+
+
 @pytest.mark.parametrize("grid", [False, True])
 def test_copies_of_one_vector_do_not_push_out_smaller_ids(spark, grid):
     """Most rows are one vector: the smallest ids must win."""
