@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import posixpath
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -80,7 +80,7 @@ def _with_part(blocks: DataFrame, sizes: DataFrame, part_bytes: int) -> DataFram
     )
 
 
-def bundle_path(root: str) -> "callable":
+def bundle_path(root: str) -> Callable[[str, int], str]:
     """Where the bundle of a folder goes: the mirrored folder below the output folder."""
     top = posixpath.basename(root.rstrip("/"))
 
@@ -120,6 +120,21 @@ def write_bundles(parts: DataFrame, root: str) -> DataFrame:
     return parts.mapInArrow(write, "out_path string, n_files bigint")
 
 
+def make_folders(folders: DataFrame, root: str) -> int:
+    """Makes the mirrored folder of every `dir`, also of those without a bundle."""
+    top = posixpath.join(root.rstrip("/"), BUNDLE_FOLDER)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("dir").to_pylist():
+                system, inner = open_folder(posixpath.join(top, folder))
+                system.create_dir(inner, recursive=True)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    made = folders.select("dir").distinct().mapInArrow(make, "n bigint")
+    return made.agg(F.sum("n").alias("n")).first()["n"] or 0
+
+
 def write_text(path: str, text: str) -> None:
     system, inner = open_folder(path)
     system.create_dir(posixpath.dirname(inner), recursive=True)

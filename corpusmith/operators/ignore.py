@@ -52,6 +52,13 @@ def drop_ignored(
     return files.filter(~ignored(rel_path, patterns))
 
 
+def visited(
+    files: DataFrame, patterns: Sequence[str], folder: str = BUNDLE_FOLDER
+) -> DataFrame:
+    """Files of all kinds in the folders the bundler walks through."""
+    return files.filter(~below_ignored("rel_path", patterns) & ~in_folder("dir", folder))
+
+
 def bundle_inputs(
     files: DataFrame, patterns: Sequence[str], suffix: str = ".py",
     folder: str = BUNDLE_FOLDER,

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
-from ..operators.bundle import PART_BYTES, bundles, write_bundles
+from ..operators.bundle import PART_BYTES, bundles, make_folders, write_bundles
 from ..operators.corpus import load_status
 from ..operators.embedding import Embedder
-from ..operators.ignore import bundle_inputs, project_filter
+from ..operators.ignore import bundle_inputs, project_filter, visited
 from ..session import cut_lineage
 from ..settings import ERROR_PREFIX, Settings
 from ..sources.filetree import as_documents, folder_exists, list_files, read_bodies
@@ -20,9 +20,10 @@ def bundle_tree(spark: SparkSession, root: str, part_bytes: int = PART_BYTES) ->
 
     Hidden folders take part unless a rule says otherwise; line ends become '\\n'.
     """
-    listing = bundle_inputs(
-        list_files(spark, root, include_hidden=True), ignore_rules(root)
-    )
+    rules = ignore_rules(root)
+    everything = list_files(spark, root, include_hidden=True)
+    make_folders(visited(everything, rules), root)
+    listing = bundle_inputs(everything, rules)
     files = read_bodies(listing, universal_newlines=True)
     # Written once, whatever the caller does with the report.
     return cut_lineage(write_bundles(bundles(files, listing, part_bytes), root))

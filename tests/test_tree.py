@@ -60,6 +60,19 @@ def test_project(spark, root, tmp_path):
     assert status == "ok" and index.settings.chunk_size == 64
 
 
+def test_bundle_tree_mirrors_folders(spark, root):
+    (root / ".gitignore").write_text("*.pyc\n.git/\nout\n")
+    for rel in ("docs/deep/x.md", "out/y.py"):
+        (root / rel).parent.mkdir(parents=True)
+        (root / rel).write_text("x")
+    written = tree.bundle_tree(spark, str(root)).collect()
+    assert len(written) == 2
+    top = root / "concated"
+    assert sorted(str(p.relative_to(top)) for p in top.rglob("*")) == [
+        "code_concatenated.py", "docs", "docs/deep", "lib", "lib/lib_concatenated.py",
+    ]
+
+
 def test_command_line(spark, root, tmp_path, capsys):
     assert cli.main(["bundle", str(root)]) == 0
     out = capsys.readouterr().out
