@@ -71,8 +71,10 @@ def language_label(
         # Names are numbered backwards: the larger place is the earlier name.
         scored.append(F.struct(total.alias("score"), F.lit(place).alias("place"),
                                F.lit(name).alias("name")))
-    best = F.array_max(F.array(*scored))
-    return F.when(best["score"] > 0, best["name"]).otherwise(F.lit(UNKNOWN))
+    # Ahead of all names without a hit, behind every name with one.
+    scored.append(F.struct(F.lit(0).alias("score"), F.lit(len(names)).alias("place"),
+                           F.lit(UNKNOWN).alias("name")))
+    return F.array_max(F.array(*scored))["name"]
 
 
 def _holds(text: Column, literals: Sequence[str]) -> Column:

@@ -59,8 +59,11 @@ def similarity(a: Column | str, b: Column | str, method: str = "cosine") -> Colu
 def normalize(a: Column | str) -> Column:
     """The vector scaled to length one; NULL entries for the zero vector."""
     v = _double(a)
-    length = norm(v)
-    return F.transform(v, lambda x: F.try_divide(x, length))
+    # Bound by an outer lambda: inside the inner one it would be computed per entry.
+    scaled = F.transform(
+        F.array(norm(v)), lambda length: F.transform(v, lambda x: F.try_divide(x, length))
+    )
+    return F.element_at(scaled, 1)
 
 
 def same_dimension(a: Column | str, b: Column | str) -> Column:
