@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as registered
 from compare import connect, difference
+from corpusmith import catalog, oracle
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SQL = registered.oracle_sql()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(registered.queries())
+    assert set(SQL) == set(catalog.QUERIES)
 
 
 def test_entry(spark):
