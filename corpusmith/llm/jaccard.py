@@ -10,13 +10,15 @@ lowered) reaches `percent` / 100.  The result is the component of every document
 2. Prefixes.  A set of n needs its first n - ceil(n * percent) + 1 n-grams only: linked sets share
    one of them.  Equal sets are one set from here on.  Prefix n-grams of one set alone go.
 3. Candidates pass a length filter, a positional filter (what can still be common behind the
-   places of the shared n-gram) and a suffix filter (counts of the sets' n-grams in 32 ranges
-   of the hash bound their difference from below).  A pair is verified once, on the whole sets.
-4. Rather than all pairs of a group of near copies, each set is first tried against one other
-   set of its group; components grow from those links, and then only sets in different
-   components meet: those outside a group's largest component against the rest.  Rounds against
-   one representative per component go on while they link anything; the last round takes every
-   pair that is left, so no link between components is lost.
+   places of the shared n-gram) and a suffix filter: sets are counted by ranges of the hash, and
+   the differences of two sets' counts bound how far apart the sets are from below, first by
+   the parities of 256 ranges inside the join, then by the counts of 512.  A pair is verified
+   once, on the whole sets, made anew from the two texts.
+4. Rather than all pairs of a group of near copies, each set is first tried against the hub of
+   an n-gram it shares: the set in whose order that n-gram comes first, so that least is its
+   own.  Components grow from those links, and then only sets in different components meet:
+   those outside an n-gram's largest component against the rest.  No link between components
+   is lost.
 
 n-grams are compared by 64-bit hashes and sets by 64 bits of their n-grams.  A document of
 fewer than `gram` words is one n-gram; one without words links with nothing and is its own
@@ -42,12 +44,13 @@ from .words import batch_hashes, lower, mix, pieces, signed, texts_of, window_ha
 GRAM = 5
 PERCENT = 80
 FREQUENT_BITS = 20
-RANGES = 32
+RANGES = 512
+PARITY_LONGS = 8
 # n-grams looked at together when frequent ones are sought, and how often one has to come there.
 BLOCK_GRAMS = 2_000_000
 OFTEN = 3
-# Candidates' texts are found by a broadcast of their keys up to this many bytes.
-SMALL_BYTES = 16 << 20
+# Texts to verify are found by a broadcast of so many requests at most, else by a shuffle.
+SMALL_REQUESTS = 400_000
 PAIRS_PER_SALT = 500
 
 
@@ -90,66 +93,74 @@ def _frequent_rows(gram: int):
 
 
 def _prefix_rows(gram: int, percent: int, shared):
-    """Per document: id of its set, size, prefix in the rare-first order, counts by range."""
+    """Per document a row about it (pos -1, a spread-out token); per set the n-grams of its prefix.
+
+    A set that comes again in a task sends its prefix once.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
-        for batch in pieces(batches, "text"):
-            sid, size, prefix, ranges = [], [], [], []
-            for s in _sets(texts_of(batch), gram):
+        seen: set[int] = set()
+        for batch in pieces(batches, "text", 2 << 20):
+            sids, sizes, ranges, owners, prefixes = [], [], [], [], []
+            for i, s in enumerate(_sets(texts_of(batch), gram)):
                 n = len(s)
-                size.append(n)
-                sid.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
+                sid = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+                sids.append(sid)
+                sizes.append(n)
                 if not n:
-                    prefix.append([])
                     ranges.append(None)
                     continue
-                count = np.zeros(n, dtype=np.int64)
+                counts = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=RANGES)
+                ranges.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+                if sid in seen:
+                    continue
+                seen.add(sid)
+                often_here = np.zeros(n, dtype=np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     hit = known[at] == s
-                    count[hit] = often[at[hit]]
+                    often_here[hit] = often[at[hit]]
                 first = n - -(-n * percent // 100) + 1
-                order = np.argsort(count, kind="stable")[:first] if count.any() else slice(0, first)
-                prefix.append(signed(s[order]))
-                ranges.append(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=RANGES).astype(np.int32).tobytes())
-            offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefix])))
-            flat = np.concatenate(prefix).astype(np.int64) if prefix else np.empty(0, dtype=np.int64)
+                order = np.argsort(often_here, kind="stable")[:first] if often_here.any() else slice(0, first)
+                owners.append(i)
+                prefixes.append(signed(s[order]))
+            lengths = np.array([len(p) for p in prefixes], dtype=np.int64)
+            owner = np.repeat(np.array(owners, dtype=np.int64), lengths)
+            pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            sid, size, n = np.array(sids, dtype=np.int64), np.array(sizes, dtype=np.int32), len(sids)
+            doc = pa.StructArray.from_arrays(
+                [batch.column("doc_id"), batch.column("k1"), pa.array(ranges, pa.binary())], ["doc_id", "k1", "ranges"]
+            )
+            token = signed(mix(sid.view(np.uint64) + np.arange(n, dtype=np.uint64)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("k1"), pa.array(sid, pa.int64()), pa.array(size, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(ranges, pa.binary()),
-                ],
-                ["doc_id", "k1", "sid", "n", "prefix", "ranges"],
+                [pa.array(token), pa.array(sid), pa.array(size), pa.array(np.full(n, -1, dtype=np.int32)), doc],
+                ["token", "sid", "n", "pos", "doc"],
             )
+            if len(owner):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(prefixes)), pa.array(sid[owner]), pa.array(size[owner]),
+                     pa.array(pos.astype(np.int32)), pa.nulls(len(owner), doc.type)],
+                    ["token", "sid", "n", "pos", "doc"],
+                )
 
     return rows
 
 
-def _set_rows(gram: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            sets = [s.tobytes() for s in _sets(texts_of(batch), gram)]
-            ids = [xxhash.xxh64_intdigest(s) - (1 << 63) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["sid", "grams"])
-
-    return rows
-
-
-def _verify_rows(percent: int):
-    """Streams of one set (`b` null) and those to hold against it: the pairs that link."""
+def _verify_rows(gram: int, percent: int):
+    """Streams of one text (`b` null) and those to hold against it: the pairs that link."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, base = None, np.empty(0, dtype=np.uint64)
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             links: list[tuple[int, int]] = []
-            for a, b, grams in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "grams"))):
-                s = np.frombuffer(grams, dtype=np.uint64)
+            asked = (batch.column(c).to_pylist() for c in ("a", "b"))
+            for a, b, s in zip(*asked, _sets(texts_of(batch), gram)):
                 if b is None:
                     key, base = a, s
                     continue
                 if key != a:
-                    raise ValueError("a set to verify against is missing")
+                    raise ValueError("a text to verify against is missing")
                 both = len(base) + len(s) - len(np.union1d(base, s))
                 if 100 * both >= percent * (len(base) + len(s) - both):
                     links.append((a, b))
@@ -161,6 +172,24 @@ def _verify_rows(percent: int):
     return rows
 
 
+def _parity_rows():
+    """Adds the parities of the counts by range, two ranges to a bit, as longs p0, p1 ..."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column("ranges").to_pylist()), dtype=np.uint8).reshape(-1, RANGES)
+            folded = raw.reshape(len(raw), -1, RANGES // (64 * PARITY_LONGS)).astype(np.int64).sum(axis=2)
+            # A saturated count has no known parity; it is taken as even in every set.
+            odd = (folded & 1).astype(bool) & ~(raw == 255).reshape(folded.shape + (-1,)).any(axis=2)
+            longs = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("sid"), *[pa.array(np.ascontiguousarray(longs[:, i])) for i in range(PARITY_LONGS)]],
+                ["sid", *[f"p{i}" for i in range(PARITY_LONGS)]],
+            )
+
+    return rows
+
+
 def _suffix_rows(percent: int):
     """Pairs whose sets' counts by range allow the overlap that is needed."""
 
@@ -169,11 +198,11 @@ def _suffix_rows(percent: int):
             if not batch.num_rows:
                 continue
             x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.int32).reshape(-1, RANGES)
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, RANGES).astype(np.int32)
                 for c in ("ra", "rb")
             )
             apart = np.abs(x - y).sum(axis=1)
-            total = x.sum(axis=1) + y.sum(axis=1)
+            total = batch.column("total").to_numpy()
             # overlap <= (total - apart) / 2 and overlap >= percent / (100 + percent) * total
             keep = (100 + percent) * (total - apart) >= 2 * percent * total
             yield batch.select(["a", "b"]).filter(pa.array(keep))
@@ -182,10 +211,13 @@ def _suffix_rows(percent: int):
 
 
 def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
-    """Length and positional filter for a shared n-gram at places p1 and p2 (from 0)."""
+    """Length and positional filter for a shared n-gram at places p1 and p2 (from 0).
+
+    It is taken as the first that the sets share, so all they share starts there.  Linked
+    sets pass at their first one at least.
+    """
     sizes = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
-    upto = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    return sizes & ((100 + percent) * upto >= percent * (n1 + n2))
+    return sizes & ((100 + percent) * F.least(n1 - p1, n2 - p2) >= percent * (n1 + n2))
 
 
 class Join:
@@ -206,129 +238,109 @@ class Join:
         known = often.column("h").to_numpy().view(np.uint64)
         order = np.argsort(known)
         shared = spark.sparkContext.broadcast((known[order], often.column("n").to_numpy()[order]))
-        self.sets = cut_lineage(self.rows.mapInArrow(
+        id_type = self.rows.schema["doc_id"].dataType.simpleString()
+        found = self.rows.mapInArrow(
             _prefix_rows(gram, percent, shared),
-            f"doc_id {self.rows.schema['doc_id'].dataType.simpleString()}, k1 long, sid long, n int, prefix array<long>, ranges binary",
-        ))
-        self.tokens = self._shared_tokens()
-
-    def _shared_tokens(self) -> DataFrame:
-        """token, sid, n, pos, other, other_n, other_pos: prefix n-grams of several sets.
-
-        The other is the smallest set with that n-gram; it has itself as other.
-        """
-        different = self.sets.filter("n > 0").dropDuplicates(["sid"])
-        tokens = different.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
-        to = Window.partitionBy("token").orderBy("n", "sid")
-        first = F.first(F.struct("sid", "n", "pos")).over(to)
-        found = (
-            tokens.withColumn("other", first)
-            .withColumn("more", F.lead("sid").over(to).isNotNull() | F.lag("sid").over(to).isNotNull())
-            .filter("more")
+            f"token long, sid long, n int, pos int, doc struct<doc_id:{id_type},k1:bigint,ranges:binary>",
+        )
+        # Each set once per n-gram, n-grams of several sets only; documents' own rows pass.
+        whole = Window.partitionBy("token")
+        to = whole.orderBy("pos", "n", "sid")
+        hub = F.first(F.struct("sid", "n", "pos")).over(to)
+        found = cut_lineage(
+            found.withColumn("hub", hub).withColumn("again", F.lag("sid").over(to).eqNullSafe(F.col("sid")))
+            .withColumn("several", F.min("sid").over(whole) != F.max("sid").over(whole))
+            .filter("doc is not null or (several and not again)").drop("again", "several")
+        )
+        self.sets = found.filter("doc is not null").select("sid", "n", "doc.*")
+        self.tokens = found.filter("doc is null").select("token", "sid", "n", "pos", "hub")
+        # One document stands for each set.
+        self.stands = cut_lineage(
+            self.sets.filter("n > 0").groupBy("sid").agg(F.min(F.struct("k1", "doc_id", "n", "ranges")).alias("d")).select("sid", "d.*")
         )
-        return cut_lineage(found.select(
-            "token", "sid", "n", "pos", F.col("other.sid").alias("other"), F.col("other.n").alias("other_n"), F.col("other.pos").alias("other_pos")
-        ))
 
-    def best_partners(self) -> DataFrame:
-        """For every set the one other set it shares most first n-grams with: a, b."""
-        ok = _may_link(F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos"), self.percent)
+    def to_hubs(self) -> DataFrame:
+        """For every set the hub it shares most first n-grams with: a, b."""
+        ok = _may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), self.percent)
         return (
-            self.tokens.filter(F.col("sid") != F.col("other")).filter(ok)
-            .groupBy("sid", "other").agg(F.count("*").alias("times"))
+            self.tokens.filter(F.col("sid") != F.col("hub.sid")).filter(ok)
+            .groupBy("sid", F.col("hub.sid").alias("other")).agg(F.count("*").alias("times"))
             .groupBy("sid").agg(F.max_by("other", F.struct("times", "other")).alias("other"))
             .select(F.col("other").alias("a"), F.col("sid").alias("b"))
         )
 
-    def _mixed(self, roots: DataFrame) -> DataFrame:
-        """The tokens whose sets are in several components, with root, main and a head of main.
-
-        main is the component with most sets of the token, head its smallest set.
-        """
+    def across(self, roots: DataFrame) -> DataFrame:
+        """Every pair of sets of one n-gram in different components that passes the filters."""
         tokens = (
             self.tokens.select("token", "sid", "n", "pos").join(roots.withColumnRenamed("id", "sid"), "sid", "left")
             .withColumn("root", F.coalesce("root", "sid"))
+            # Two sets that also share the n-gram before this one have met there.
+            .withColumn("before", F.lag("token").over(Window.partitionBy("sid").orderBy("pos")))
         )
-        parts = tokens.groupBy("token", "root").agg(
-            F.count("*").alias("times"), F.min(F.struct("n", "sid", "pos")).alias("head")
-        )
+        parts = tokens.groupBy("token", "root").agg(F.count("*").alias("times"))
+        # The component with most sets of an n-gram, where there are several.
         main = parts.groupBy("token").agg(
-            F.max_by(F.struct("root", "head"), F.struct("times", "root")).alias("main"), F.count("*").alias("parts")
-        ).filter("parts > 1")
-        return cut_lineage(tokens.join(main, "token").select(
-            "token", "sid", "n", "pos", "root", F.col("main.root").alias("main"), F.col("main.head").alias("head")
-        ))
-
-    def to_heads(self, mixed: DataFrame) -> DataFrame:
-        """Sets outside the main component of a token with that component's head: a, b."""
-        ok = _may_link(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos"), self.percent)
-        return (
-            mixed.filter("root <> main").filter(ok).groupBy("sid", F.col("head.sid").alias("other")).agg(F.count("*").alias("times"))
-            .groupBy("sid").agg(F.max_by("other", F.struct("times", "other")).alias("other"))
-            .select(F.col("other").alias("a"), F.col("sid").alias("b"))
+            F.max_by("root", F.struct("times", "root")).alias("main"), F.count("*").alias("parts")
+        ).filter("parts > 1").drop("parts")
+        names = [f"p{i}" for i in range(PARITY_LONGS)]
+        parity = self.stands.select("sid", "ranges").mapInArrow(
+            _parity_rows(), "sid long, " + ", ".join(f"{p} long" for p in names)
         )
-
-    def across(self, mixed: DataFrame) -> DataFrame:
-        """Every pair of sets of one token in different components that passes the filters."""
+        mixed = cut_lineage(tokens.join(main, "token").join(parity, "sid"))
         x, y = mixed.filter("root <> main").alias("x"), mixed.alias("y")
         once = (F.col("y.root") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid"))
+        once &= ~F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
         ok = _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), self.percent)
+        apart = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in names), F.lit(0))
+        total = F.col("x.n") + F.col("y.n")
+        near = (100 + self.percent) * (total - apart) >= 2 * self.percent * total
         return x.join(
-            y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & ok
+            y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & ok & near
         ).select(F.col("y.sid").alias("a"), F.col("x.sid").alias("b"))
 
     def verify(self, pairs: DataFrame, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """The pairs (each once, none of `done`) that pass the suffix filter, and which of them link."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates()
+        """The pairs (each once, none of `done`) after the suffix filter, and which of them link."""
+        pairs = pairs.dropDuplicates()
         if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        ranges = self.sets.groupBy("sid").agg(F.first("ranges").alias("ranges"))
-        pairs = (
+            for a, b in (("a", "b"), ("b", "a")):
+                pairs = pairs.join(done.select(F.col(a).alias("a"), F.col(b).alias("b")), ["a", "b"], "left_anti")
+        about = self.stands.select("sid", "n", "ranges")
+        pairs = cut_lineage(
             cut_lineage(pairs)
-            .join(ranges.select(F.col("sid").alias("a"), F.col("ranges").alias("ra")), "a")
-            .join(ranges.select(F.col("sid").alias("b"), F.col("ranges").alias("rb")), "b")
-            .select("a", "b", "ra", "rb").mapInArrow(_suffix_rows(self.percent), "a long, b long")
+            .join(about.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("ranges").alias("ra")), "a")
+            .join(about.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("ranges").alias("rb")), "b")
+            .select("a", "b", "ra", "rb", (F.col("na") + F.col("nb")).alias("total"))
+            .mapInArrow(_suffix_rows(self.percent), "a long, b long")
         )
-        pairs = cut_lineage(pairs)
-        sets = self._whole_sets(pairs)
         salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_SALT).alias("salts"))
-        # One copy of the set itself for each part of those to hold against it.
-        bases = salts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).join(
-            sets.withColumnRenamed("sid", "a"), "a"
-        ).select("a", "salt", F.lit(None).cast("long").alias("b"), "grams")
-        others = pairs.join(salts, "a").join(sets.withColumnRenamed("sid", "b"), "b").select(
-            "a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b", "grams"
+        # One copy of a base for each part of those to hold against it.
+        bases = salts.select(
+            "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+            F.lit(None).cast("long").alias("b"), F.col("a").alias("sid"),
         )
-        links = (
-            bases.unionByName(others).repartition("a", "salt")
-            .sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-            .select("a", "b", "grams").mapInArrow(_verify_rows(self.percent), "a long, b long")
+        others = pairs.join(salts, "a").select(
+            "a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b", F.col("b").alias("sid")
         )
-        return pairs, cut_lineage(links)
-
-    def _whole_sets(self, pairs: DataFrame) -> DataFrame:
-        """sid and all n-grams of the sets in pairs, made again from one text of each."""
-        wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).dropDuplicates()
-        keys = cut_lineage(
-            self.sets.groupBy("sid").agg(F.min("k1").alias("k1")).join(wanted, "sid").select("k1").dropDuplicates()
+        asked = cut_lineage(
+            bases.unionByName(others).join(self.stands.select("sid", "k1", F.col("doc_id").alias("id")), "sid").drop("sid")
+        )
+        if asked.count() <= SMALL_REQUESTS:
+            asked = F.broadcast(asked)
+        texts = self.rows.alias("d").join(
+            asked.alias("q"), (F.col("d.k1") == F.col("q.k1")) & F.col("doc_id").eqNullSafe(F.col("id"))
         )
-        small = keys.count() * 8 <= SMALL_BYTES
-        texts = self.rows.select("k1", "text").join(F.broadcast(keys) if small else keys, "k1", "left_semi")
-        return cut_lineage(
-            texts.select("text").mapInArrow(_set_rows(self.gram), "sid long, grams binary").dropDuplicates(["sid"])
+        links = (
+            texts.select("a", "salt", "b", "text").repartition("a", "salt")
+            .sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+            .select("a", "b", "text").mapInArrow(_verify_rows(self.gram, self.percent), "a long, b long")
         )
+        return pairs, cut_lineage(links.dropDuplicates())
 
     def links(self) -> DataFrame:
         """Verified links (a, b) that give the components."""
-        done, links = self.verify(self.best_partners())
-        while True:
-            mixed = self._mixed(components(links))
-            pairs, more = self.verify(self.to_heads(mixed), done)
-            done = cut_lineage(done.unionByName(pairs))
-            if more.isEmpty():
-                break
-            links = cut_lineage(links.unionByName(more))
-        return links.unionByName(self.verify(self.across(mixed), done)[1])
+        done, links = self.verify(self.to_hubs())
+        more = self.verify(self.across(cut_lineage(components(links))), done)[1]
+        return links.unionByName(more)
 
     def members(self) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id."""
