@@ -29,7 +29,7 @@ from ..session import cut_lineage
 SHARDS = 40
 ROW_BYTES = 16
 CELL_BITS = 17
-PART_ROWS = 50_000
+PART_ROWS = 500
 
 
 def greedy_cuts(sums: list[int], capacity: int, shards: int) -> list[int] | None:
