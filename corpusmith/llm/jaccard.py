@@ -52,6 +52,8 @@ OFTEN = 3
 # Texts to verify are found by a broadcast of so many requests at most, else by a shuffle.
 SMALL_REQUESTS = 400_000
 PAIRS_PER_SALT = 500
+# Ids that go are broadcast up to this many, else the texts are shuffled to meet them.
+SMALL_IDS = 2_000_000
 
 
 def _sets(texts: list[bytes], gram: int) -> Iterator[np.ndarray]:
@@ -367,12 +369,19 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Rows without an id stay.
     """
-    names = similar_documents(docs, doc_id, text).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").dropDuplicates()
-    names = cut_lineage(names.select(F.col("doc_id").alias("__id")))
-    kept = docs.join(names, docs[doc_id] == F.col("__id"), "left_semi")
-    often = cut_lineage(docs.groupBy(F.col(doc_id).alias("__id")).count().filter("count > 1").select("__id"))
-    if not often.isEmpty():
-        # Repeated ids are rare; only their rows are shuffled to be made one.
-        single = kept.join(often, kept[doc_id] == F.col("__id"), "left_anti")
-        kept = single.unionByName(kept.join(often, kept[doc_id] == F.col("__id"), "left_semi").dropDuplicates([doc_id]))
-    return kept.unionByName(docs.filter(F.col(doc_id).isNull()))
+    members = cut_lineage(similar_documents(docs, doc_id, text).filter("doc_id is not null").select("doc_id", "component_id"))
+    names = members.filter("doc_id = component_id").select("doc_id").dropDuplicates()
+    # Ids that go are fewer than those that stay.
+    gone = cut_lineage(
+        members.filter("doc_id <> component_id").select("doc_id").dropDuplicates().join(names, "doc_id", "left_anti")
+        .select(F.col("doc_id").alias("__id"))
+    )
+    if gone.count() <= SMALL_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, docs[doc_id] == F.col("__id"), "left_anti")
+    often = cut_lineage(members.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"))
+    if often.isEmpty():
+        return kept
+    # Repeated ids are rare; only their rows are shuffled to be made one.
+    single = kept.join(often, kept[doc_id] == F.col("__id"), "left_anti")
+    return single.unionByName(kept.join(often, kept[doc_id] == F.col("__id"), "left_semi").dropDuplicates([doc_id]))
