@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach; one of our own only where master is local."""
     folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="corpusmith-")
         spark.sparkContext.setCheckpointDir(folder)
