@@ -328,3 +328,13 @@ def test_lines(spark):
     assert got[4] == (4, "site.org", 4, 3, "body 4")
     assert got[7:] == [(6, None, 1, 0, "menu"), (7, "other.org", 0, 0, ""), (8, "other.org", 0, 0, "")]
     assert lines.drop_boilerplate(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_chat_rotation", "op8_site_lines", "op9_benchmark_overlap"])
+def test_sql_gives_the_same(spark, name):
+    from compare import connect, difference
+
+    from corpusmith.llm.queries import QUERIES, SQL
+
+    folder = "/root/testdata/sf0.001"
+    assert difference(QUERIES[name](spark, folder), connect(folder), SQL[name]) is None
