@@ -41,6 +41,14 @@ def euclidean(a: Column | str, b: Column | str) -> Column:
     return -F.sqrt(squared_l2(a, b))
 
 
+def same_size(a: Column | str, b: Column | str, value: Column) -> Column:
+    """The value, an error where sizes differ: zip_with alone would pad with NULL."""
+    x, y = (F.col(v) if isinstance(v, str) else v for v in (a, b))
+    return F.when(
+        F.size(x) != F.size(y), F.raise_error("vectors differ in dimension").cast("double")
+    ).otherwise(value)
+
+
 def check_method(method: str) -> str:
     if method not in METHODS:
         raise ValueError(
@@ -51,9 +59,9 @@ def check_method(method: str) -> str:
 
 
 def similarity(a: Column | str, b: Column | str, method: str = "cosine") -> Column:
-    """Score of two vectors, bigger is closer."""
+    """Score of two vectors, bigger is closer; NULL for a NULL vector, an error if sizes differ."""
     check_method(method)
-    return {"cosine": cosine, "dot": dot, "euclidean": euclidean}[method](a, b)
+    return same_size(a, b, {"cosine": cosine, "dot": dot, "euclidean": euclidean}[method](a, b))
 
 
 def normalize(a: Column | str) -> Column:
@@ -64,10 +72,3 @@ def normalize(a: Column | str) -> Column:
         F.array(norm(v)), lambda length: F.transform(v, lambda x: F.try_divide(x, length))
     )
     return F.element_at(scaled, 1)
-
-
-def same_dimension(a: Column | str, b: Column | str) -> Column:
-    """Fails the task where sizes differ; zip_with alone would pad with NULL."""
-    x = F.col(a) if isinstance(a, str) else a
-    y = F.col(b) if isinstance(b, str) else b
-    return F.assert_true(F.size(x) == F.size(y), "vectors differ in dimension")

@@ -9,6 +9,7 @@ so no task ever holds a whole side and nothing but k rows per query leaves it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import check_method, squared_l2
+from ..functions.vectors import check_method, same_size, squared_l2
 from ..session import cut_lineage
 
 INDEX_METHOD = "l2"
@@ -30,6 +31,7 @@ BLOCK_QUERIES = 16384
 SLICE_ROWS = 1 << 22
 # Cells of a product of queries and vectors held at once in a task.
 BLOCK_CELLS = 1 << 22
+UNUSABLE = "a vector has an entry that is NULL, NaN, infinite or too large"
 
 
 def nearest(
@@ -50,6 +52,8 @@ def nearest(
     method 'l2' is the index's own: column `distance`, squared, ascending.  The others
     give `score`, bigger is closer; an undefined cosine is NULL and comes last.  Vectors
     are arrays or packed; in one call both sides have the same form.
+    A NULL vector has no neighbours and is none; a vector of another dimension, with a
+    NULL, NaN or infinite entry, or too long to be squared is an error.
     Columns: query_id, rank, vector_id and distance or score.
     """
     if k < 1:
@@ -57,8 +61,9 @@ def nearest(
     if method != INDEX_METHOD:
         check_method(method)
     # Rows without a vector are dropped inside the tasks: a filter on the vector would
-    # run the embedder it may come from a second time.
-    q = queries.select(F.col(query_id).alias("q_id"), F.col(query_vector).alias("v"))
+    # run the embedder it may come from a second time.  Queries are measured and then
+    # read, so they are written once.
+    q = cut_lineage(queries.select(F.col(query_id).alias("q_id"), F.col(query_vector).alias("v")))
     x = vectors.select(F.col(vector_id).alias("x_id"), F.col(vector).alias("v"))
     fits = _collect_if_small(q, broadcast_bytes)
     if fits is not None:
@@ -88,11 +93,20 @@ def nearest_to_one(
     vector_id: str = "vec_id",
     vector: str = "embedding",
 ) -> DataFrame:
-    """The k nearest vectors of one given vector, as a plain ordered limit."""
-    given = F.lit([float(v) for v in query])
+    """The k nearest vectors of one given vector, as a plain ordered limit.
+
+    NULL vectors and vectors that cannot be compared are treated as by `nearest`.
+    """
+    given = [float(v) for v in query]
+    if not all(map(math.isfinite, given)):
+        raise ValueError(UNUSABLE)
+    distance = same_size(vector, F.lit(given), squared_l2(vector, F.lit(given)))
+    usable = F.coalesce(distance < float("inf"), F.lit(False))
     return (
-        vectors.select(
-            F.col(vector_id), F.round(squared_l2(vector, given), DIGITS).alias("distance")
+        vectors.filter(F.col(vector).isNotNull())
+        .select(
+            F.col(vector_id),
+            F.when(usable, F.round(distance, DIGITS)).otherwise(F.raise_error(UNUSABLE)).alias("distance"),
         )
         .orderBy("distance", vector_id)
         .limit(k)
@@ -143,7 +157,6 @@ def _grid(
 ) -> DataFrame:
     """Queries in blocks times vectors in slices; every pair meets in exactly one cell."""
     spark = q.sparkSession
-    q = cut_lineage(q)
     blocks = max(1, -(-q.count() // block_queries))
     wanted = cells or 4 * spark.sparkContext.defaultParallelism
     slices = max(1, -(-wanted // blocks), -(-x.count() // SLICE_ROWS))
@@ -232,6 +245,13 @@ def _squares(rows: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", rows, rows, dtype=np.float64)
 
 
+def _finite(squares: np.ndarray) -> np.ndarray:
+    """One bad entry would make every comparison of its block false."""
+    if not np.isfinite(squares).all():
+        raise ValueError(UNUSABLE)
+    return squares
+
+
 class _Best:
     """The k best rows per query seen so far; never more than k per query kept.
 
@@ -242,7 +262,7 @@ class _Best:
     def __init__(self, ids: pa.Array, matrix: np.ndarray, k: int, method: str):
         self.ids, self.k, self.method = ids, k, method
         self.matrix = matrix.astype(np.float64)
-        self.squares = _squares(self.matrix)
+        self.squares = _finite(_squares(self.matrix))
         self.length = np.sqrt(self.squares)
         factor = np.ones(len(matrix))
         if method == "cosine":
@@ -298,7 +318,7 @@ class _Best:
     def _sift(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray | float, np.ndarray]:
         """Approximate keys without the query's own part, that part, and the room that
         rounding errors need: more than a product of so many terms can be off."""
-        squares = _squares(rows)
+        squares = _finite(_squares(rows))
         longest = np.sqrt(squares.max())
         single = rows.dtype == np.float32 and max(longest, self.length.max()) < 1e15
         left = self.left32 if single else self.left

@@ -70,7 +70,7 @@ def test_normalize(spark):
 def test_dimension_check(spark):
     t = spark.createDataFrame([([1.0], [1.0, 2.0])], "a array<float>, b array<float>")
     with pytest.raises(Exception, match="differ in dimension"):
-        t.select(V.same_dimension("a", "b")).collect()
+        t.select(V.similarity("a", "b")).collect()
 
 
 @pytest.mark.parametrize("method", ["l2", "cosine", "dot", "euclidean"])
@@ -154,3 +154,26 @@ def test_one_query_is_an_ordered_limit(spark):
     got = nearest_to_one(t, [4.2], 3)
     assert [r["vec_id"] for r in got.collect()] == [4, 5, 3]
     assert "TakeOrderedAndProject" in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("grid", [False, True])
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+@pytest.mark.parametrize("at", [0, 10, 20])
+def test_an_unusable_entry_is_an_error_wherever_it_stands(spark, bad, at, grid):
+    rows = [(i, [float(i), bad if i == at else 1.0]) for i in range(21)]
+    q = table(spark, [(1, [1.0, 0.0])]).withColumnRenamed("vec_id", "query_id")
+    limit = {"broadcast_bytes": 0, "cells": 2} if grid else {}
+    with pytest.raises(PythonException, match="NULL"):
+        nearest(q, table(spark, rows), 3, **limit).collect()
+    with pytest.raises(Exception, match="NULL"):
+        nearest_to_one(table(spark, rows), [1.0, 0.0], 3).collect()
+
+
+def test_one_query_leaves_out_null_vectors_and_fails_on_other_sizes(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])]
+    got = nearest_to_one(table(spark, rows), [1.0, 0.0], 3).collect()
+    assert [r["vec_id"] for r in got] == [1, 3]
+    with pytest.raises(Exception, match="differ in dimension"):
+        nearest_to_one(table(spark, [*rows, (4, [1.0])]), [1.0, 0.0], 3).collect()
+    with pytest.raises(ValueError, match="NaN"):
+        nearest_to_one(table(spark, rows), [float("nan"), 0.0], 3)
