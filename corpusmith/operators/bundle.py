@@ -1,10 +1,10 @@
 """One text per folder, made of all its files.
 
 A folder may hold any share of the data, so its text is cut into parts: sizes are
-summed per folder first (names and sizes only), and just the folders above `part_bytes`
-are spread over parts by a hash of the path.  The parts of a folder, joined by the same
-separator as the files, are its whole text: nothing is left out, and no group outgrows
-a part.
+summed per folder first (names and sizes only), and the folders above `part_bytes` are
+cut into ranges of paths.  The parts of a folder, joined in their order by the same
+separator as the files, are its whole text whatever `part_bytes` is.  No part is longer
+than `part_bytes` and its last file.
 """
 
 from __future__ import annotations
@@ -15,16 +15,15 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import header_block
+from ..session import cut_lineage
 from ..settings import BUNDLE_FOLDER
 from ..sources.filetree import open_folder
 
 PART_BYTES = 64 << 20
-# Folders above part_bytes that may be broadcast (about 10 MB of names).
-_MOST_BROADCAST = 100_000
 SEPARATOR = "\n"
 
 
@@ -33,7 +32,8 @@ def bundles(
 ) -> DataFrame:
     """dir, part_no, n_files, text from (dir, path, rel_path, size, content).
 
-    Files that could not be read count in n_files but add no text.  Inside a part files
+    Files that could not be read count in n_files (of part 0 where there are several)
+    but add no text.  Inside a part files
     come in the order of their paths.  Pass the listing the files were read from, and
     sizes are summed without reading the files twice.
     """
@@ -58,25 +58,37 @@ def bundles(
 
 
 def _with_part(blocks: DataFrame, sizes: DataFrame, part_bytes: int) -> DataFrame:
-    large = (
-        sizes.groupBy("dir").agg(F.sum("size").alias("_bytes"))
-        .filter(F.col("_bytes") > part_bytes)
-        .select("dir", F.ceil(F.col("_bytes") / F.lit(part_bytes)).alias("_parts"))
-    )
-    rows = large.limit(_MOST_BROADCAST + 1).collect()
-    if not rows:
+    """Adds part_no: consecutive from 0, a range of paths each, cut by running bytes."""
+    large = sizes.groupBy("dir").agg(F.sum("size").alias("total")).filter(F.col("total") > part_bytes)
+    large = cut_lineage(large.select("dir"))
+    if large.isEmpty():
         return blocks.withColumn("part_no", F.lit(0).cast("long"))
-    if len(rows) <= _MOST_BROADCAST:
-        spark = blocks.sparkSession
-        large = F.broadcast(spark.createDataFrame(rows, large.schema))
-    digest = F.conv(F.substring(F.md5("rel_path"), 1, 8), 16, 10).cast("long")
-    return (
-        blocks.join(large, "dir", "left")
-        .withColumn(
-            "part_no",
-            F.coalesce(F.pmod(digest, F.col("_parts")), F.lit(0).cast("long")),
-        )
-        .drop("_parts")
+    # Bodies are read once; what follows reads names and lengths alone.
+    blocks = cut_lineage(blocks.withColumn("bytes", F.octet_length("block").cast("long")))
+    names = (
+        blocks.filter("bytes is not null").join(large, "dir", "left_semi")
+        .groupBy("dir", "rel_path").agg(F.sum("bytes").alias("bytes"))
+    )
+    # Running sums in two steps, so no task sorts a whole folder.
+    ranged = cut_lineage(
+        names.repartitionByRange("dir", "rel_path").withColumn("range", F.spark_partition_id())
+    )
+    within = Window.partitionBy("dir", "range").orderBy("rel_path")
+    ranges = ranged.groupBy("dir", "range").agg(F.sum("bytes").alias("all")).withColumn(
+        "before", F.sum("all").over(Window.partitionBy("dir").orderBy("range")) - F.col("all")
+    )
+    placed = (
+        ranged.withColumn("start", F.sum("bytes").over(within) - F.col("bytes"))
+        .join(ranges.select("dir", "range", "before"), ["dir", "range"])
+        .select("dir", "rel_path", F.floor((F.col("before") + F.col("start")) / part_bytes).alias("cut"))
+    )
+    # A file larger than a part leaves cuts unused.
+    numbers = placed.select("dir", "cut").distinct().withColumn(
+        "part_no", F.row_number().over(Window.partitionBy("dir").orderBy("cut")).cast("long") - 1
+    )
+    placed = cut_lineage(placed.join(numbers, ["dir", "cut"]).select("dir", "rel_path", "part_no"))
+    return blocks.join(placed, ["dir", "rel_path"], "left").select(
+        "dir", "rel_path", "block", F.coalesce("part_no", F.lit(0).cast("long")).alias("part_no")
     )
 
 

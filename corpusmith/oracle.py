@@ -179,10 +179,11 @@ BLOCK = (
 )
 BUNDLE = f"""WITH {FILES},
     total AS (SELECT source, CAST(sum(size) AS BIGINT) AS bytes FROM file GROUP BY source),
-    placed AS (SELECT source AS dir, rel_path, {BLOCK} AS block,
-        CASE WHEN bytes > {C.PART_BYTES}
-            THEN ('0x' || substr(md5(rel_path), 1, 8))::BIGINT % CAST(ceil(bytes / {C.PART_BYTES}) AS BIGINT)
-            ELSE 0 END AS part_no FROM file JOIN total USING (source)),
+    block AS (SELECT source AS dir, rel_path, {BLOCK} AS block, bytes FROM file JOIN total USING (source)),
+    cut AS (SELECT *, CASE WHEN bytes > {C.PART_BYTES} THEN CAST(sum(strlen(block)) OVER (
+            PARTITION BY dir ORDER BY rel_path) - strlen(block) AS BIGINT) // {C.PART_BYTES}
+            ELSE 0 END AS cut FROM block),
+    placed AS (SELECT *, dense_rank() OVER (PARTITION BY dir ORDER BY cut) - 1 AS part_no FROM cut),
     bundle AS (SELECT dir, part_no, count(*) AS n_files,
         string_agg(block, {NL} ORDER BY rel_path) AS text FROM placed GROUP BY dir, part_no)"""
 

@@ -188,14 +188,17 @@ def test_bundle_files(spark, tmp_path):
 
 
 def test_large_folder_in_parts_is_whole(spark, tmp_path):
-    files = {f"hot/f{i:03d}.py": f"text {i}" for i in range(200)} | {"small/a.py": "a"}
+    files = {f"hot/f{i:03d}.py": f"text {i}" * (1 + 40 * (i == 7)) for i in range(60)} | {"small/a.py": "a"}
     root = make(tmp_path, files)
-    rows = bundled(spark, root, part_bytes=256).collect()
-    hot = sorted((r for r in rows if r["dir"] == "hot"), key=lambda r: r["part_no"])
-    assert len(hot) > 3 and sum(r["n_files"] for r in hot) == 200
-    whole = "\n".join(r["text"] for r in hot)
-    for rel, text in files.items():
-        if rel.startswith("hot"):
-            assert whole.count(block(root, rel, text)) == 1
-    assert len(whole) == sum(len(block(root, r, t)) for r, t in files.items() if r[0] == "h") + 199
-    assert [r["part_no"] for r in rows if r["dir"] == "small"] == [0]
+    for bad in ("a0.py", "f030x.py", "z.py"):
+        (tmp_path / "hot" / bad).write_bytes(b"\xff\xfe\xff" * 50)
+    want = "\n".join(block(root, r, t) for r, t in sorted(files.items()) if r.startswith("hot"))
+    for part_bytes in (1 << 20, 256, 7):
+        rows = bundled(spark, root, part_bytes).collect()
+        hot = sorted((r for r in rows if r["dir"] == "hot"), key=lambda r: r["part_no"])
+        assert [r["part_no"] for r in hot] == list(range(len(hot)))
+        assert (len(hot) == 1) == (part_bytes == 1 << 20)
+        assert sum(r["n_files"] for r in hot) == 63
+        assert "\n".join(r["text"] for r in hot) == want
+        # A part of 7 bytes is shorter than any file, also than that of the small folder.
+        assert [r["part_no"] for r in rows if r["dir"] == "small"] == [0]
