@@ -269,6 +269,22 @@ def summary_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("query_id", "response")
 
 
+def refusing(batch) -> list[str]:
+    """`digest`, but a question of an odd number of characters is an error."""
+    for query_id, query in zip(batch["query_id"], batch["query"]):
+        if len(query) % 2:
+            raise ValueError(f"refused {query_id}")
+    return digest(batch)
+
+
+def ask_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that the generator refuses are rows with their error; the others are answered."""
+    done = A.ask(
+        corpus_index(spark, sf_dir), questions(spark, sf_dir), 5, refusing, budget=PACK_BUDGET
+    )
+    return done.select("query_id", "status", "response")
+
+
 def source_listing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _context(spark, sf_dir).select("query_id", "rank", file_path("metadata").alias("p"))
     return sources_per_query(hits).select(
@@ -502,6 +518,7 @@ QUERIES: dict[str, Query] = {
     "similar_passages": similar_passages,
     "similar_code": similar_code,
     "ask_sources": ask_sources,
+    "ask_failures": ask_failures,
     "ask_answers": ask_answers,
     "context_pack": context_pack,
     "summary_tree": summary_tree,

@@ -19,7 +19,8 @@ Rule = tuple[str, tuple[str, ...], str, int]
 
 # (language, literals, pattern, weight).  Every match holds one of the literals: texts
 # without any are told apart by a plain byte search.  ASCII classes only, no look-around,
-# and no pattern whose search can run over a long text more than once.
+# and no pattern whose search can run over a long text more than once: runs of any length are
+# possessive (they give nothing back) and end before the next place a match can start.
 RULES: tuple[Rule, ...] = (
     ("bash", ("#!",), r"^#![ \t]*/[^\n ]*(/|env )(ba|z|k)?sh\b", 8),
     ("bash", ("fi", "done", "esac"), r"\n[ \t]*(fi|done|esac)[ \t]*\n", 3),
@@ -27,7 +28,7 @@ RULES: tuple[Rule, ...] = (
     ("c", ("malloc", "printf", "sizeof"), r"\b(malloc|printf|sizeof) ?\(", 2),
     ("c++", ("#include",), r"#include <[a-z_]+>", 4),
     ("c++", ("std::", "template"), r"\bstd::\w|\btemplate ?<", 4),
-    ("css", ("{",), r"\{\s*[a-z-]+: ?[^;{}\n]{1,80};", 3),
+    ("css", ("{",), r"\{\s*+[a-z-]++: ?[^;{}\n]++;", 3),
     ("go", ("package ",), r"(^|\n)package [a-z]\w*\n", 4),
     ("go", ("\nfunc ",), r"\nfunc [\w(]", 4),
     ("html", ("<!",), r"<!(doctype|DOCTYPE) html", 8),
@@ -41,12 +42,12 @@ RULES: tuple[Rule, ...] = (
     ("python", ("def ",), r"(^|\n)[ \t]*def \w+ ?\(", 4),
     ("python", ("import ",), r"(^|\n)(import \w+\n|from [\w.]+ import )", 3),
     ("python", ("class ", "elif ", "except"),
-     r"\n[ \t]*(class \w+[^:;{}\n]{0,80}:|elif |except\b)", 3),
+     r"\n[ \t]*(class \w++[^:;{}\n]*+:|elif |except\b)", 3),
     ("python", ("__name__",), r"\nif __name__ ==", 6),
     ("rust", ("fn ",), r"\bfn \w+ ?[<(]", 4),
     ("rust", ("let mut ", "impl ", "println!"), r"\blet mut |\bimpl \w+ for |\bprintln!\(", 3),
     ("sql", ("select ", "SELECT "),
-     r"\b(select|SELECT) [\w.*]+(, ?[\w.*]+){0,99}\s(from|FROM) \w", 4),
+     r"\b(select|SELECT) [\w.*]++(, ?[\w.*]++)*+\s(from|FROM) \w", 4),
     ("sql", ("create ", "CREATE "), r"\b(create|CREATE) (table|view|TABLE|VIEW) ", 4),
     ("xml", ("<?xml ",), r"^\s*<\?xml ", 8),
 )

@@ -55,8 +55,9 @@ def embedding(
 ) -> Column:
     """The vector of a text as ARRAY<FLOAT>; a NULL text has no vector.
 
-    on_error 'raise' fails the task with the model's own error as cause; 'null' leaves
-    the vectors of the failing model batch NULL.
+    on_error 'raise' fails the task with the model's own error as cause; 'null' gives
+    the texts of a failing model batch to the model one by one, and only those that fail
+    alone have no vector.
     """
     if on_error not in ("raise", "null"):
         raise ValueError(f"on_error must be 'raise' or 'null', not {on_error!r}")
@@ -146,7 +147,10 @@ def _encode(
             )
     except Exception as e:
         if on_error == "null":
-            return pa.nulls(len(texts), pa.list_(pa.float32()))
+            if len(texts) == 1:
+                return pa.nulls(1, pa.list_(pa.float32()))
+            alone = (texts.slice(i, 1) for i in range(len(texts)))
+            return pa.concat_arrays([_encode(encode, t, embedder, on_error) for t in alone])
         raise RuntimeError(f"Failed to generate embeddings: {e}") from e
     if embedder.normalize:
         matrix = _unit(matrix)

@@ -45,25 +45,27 @@ def source_listing(paths: Column, show: Column | bool = True) -> Column:
 
 
 def with_packs(
-    hits: DataFrame, budget: int = MAX_TOKENS, text: str = "content"
+    hits: DataFrame, budget: int = MAX_TOKENS, text: str = "content", least: int = 1
 ) -> DataFrame:
     """pack_no of every hit: consecutive ranks share a pack while it holds <= budget.
 
-    A text above the budget has a pack of its own.  The greedy walk goes over the few
+    A text above the budget has a pack of its own, but a pack takes `least` texts (the last
+    one what is left) whatever they hold.  The greedy walk goes over the few
     hits of one query, inside one row.
     """
     rows = sources_per_query(hits.withColumn("_tokens", n_tokens(text)))
     start = F.struct(
-        F.lit(-1).alias("pack"), F.lit(0).alias("used"),
+        F.lit(-1).alias("pack"), F.lit(0).alias("used"), F.lit(0).alias("held"),
         F.array().cast("array<int>").alias("packs"),
     )
 
     def step(acc: Column, n: Column) -> Column:
-        fits = (acc["pack"] >= 0) & (acc["used"] + n <= budget)
+        fits = (acc["pack"] >= 0) & ((acc["used"] + n <= budget) | (acc["held"] < least))
         pack = F.when(fits, acc["pack"]).otherwise(acc["pack"] + 1)
         return F.struct(
             pack.alias("pack"),
             F.when(fits, acc["used"] + n).otherwise(n).alias("used"),
+            F.when(fits, acc["held"] + 1).otherwise(1).alias("held"),
             F.concat(acc["packs"], F.array(pack)).alias("packs"),
         )
 

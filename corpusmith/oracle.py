@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import catalog as C
 from .functions import language, mime
 from .settings import (
-    DEFAULT_MIME, NO_INDEX_MESSAGE, SOURCES_HEADER, SUCCESS_PREFIX, SUCCESS_SUFFIX,
+    DEFAULT_MIME, ERROR_PREFIX, NO_INDEX_MESSAGE, SOURCES_HEADER, SUCCESS_PREFIX, SUCCESS_SUFFIX,
     WEB_CHUNK_OVERLAP, WEB_CHUNK_SIZE,
 )
 
@@ -207,7 +207,8 @@ def oracle_sql() -> dict[str, str]:
     types = values(mime.mime_rows())
     shorts = values([(a, b[: b.index(".", 1)]) for a, b in mime.compound_rows()])
     packed = ", ".join(text(e) for e in mime.encodings())
-    rules = values([(n.lower(), p, w) for n, _, p, w in language.RULES])
+    # The other engine's patterns never go back, so possessive runs are plain ones there.
+    rules = values([(n.lower(), p.replace("++", "+").replace("*+", "*"), w) for n, _, p, w in language.RULES])
     excluded = values([(p,) for p in C.EXCLUDED])
     included = ", ".join(text(e) for e in C.INCLUDED)
     return {
@@ -288,6 +289,17 @@ def oracle_sql() -> dict[str, str]:
     SELECT query_id, CASE WHEN count(*) = 1 THEN max(said)
         ELSE md5(string_agg(said, {NL} || {NL} ORDER BY pack_no)) END AS response
     FROM one GROUP BY query_id""",
+        "ask_failures": f"""{SEARCH}, {PACK1},
+    one AS (SELECT query_id, pack_no,
+        md5(string_agg(content, {NL} || {NL} ORDER BY rank)) AS said
+        FROM pack1 JOIN ctx USING (query_id, rank) GROUP BY query_id, pack_no),
+    told AS (SELECT query_id, CASE WHEN count(*) = 1 THEN max(said)
+        ELSE md5(string_agg(said, {NL} || {NL} ORDER BY pack_no)) END AS response
+        FROM one GROUP BY query_id)
+    SELECT query_id, CASE WHEN length(b.text) % 2 = 1 THEN 'error' ELSE 'ok' END AS status,
+        CASE WHEN length(b.text) % 2 = 1 THEN {text(ERROR_PREFIX)} || 'refused ' || query_id
+        ELSE response END AS response
+    FROM told JOIN benchmark b ON b.item_id = query_id""",
         "source_listing": f"""{SEARCH}
     SELECT query_id, {LISTING} AS listing FROM ctx GROUP BY query_id""",
         "save_load_roundtrip": f"""

@@ -22,8 +22,6 @@ from .index import Index
 _MOST_IDS = 10_000
 # Hits without texts that may be broadcast (about 100 MB).
 _MOST_BROADCAST = 500_000
-# Rounds of summarising before it is an error that texts do not get shorter.
-_MOST_LEVELS = 30
 
 # prompts (query_id, pack_no, system, query, context) -> one text per row
 Generator = Callable[[pd.DataFrame], list[str]]
@@ -31,11 +29,17 @@ Generator = Callable[[pd.DataFrame], list[str]]
 
 def search(index: Index, questions: DataFrame, k: int | None = None) -> DataFrame:
     """query_id, rank, chunk_id, distance for questions (query_id, query)."""
-    asked = questions.select(
-        "query_id", pack(embedding("query", index.embedder)).alias("packed")
-    )
+    return _nearest(index, _embedded(index, questions, "raise"), k)
+
+
+def _embedded(index: Index, questions: DataFrame, on_error: str) -> DataFrame:
+    vector = embedding("query", index.embedder, on_error)
+    return questions.select("query_id", "query", pack(vector).alias("packed"))
+
+
+def _nearest(index: Index, asked: DataFrame, k: int | None) -> DataFrame:
     return nearest(
-        asked, index.packed, k or index.settings.top_k, vector_id="chunk_id",
+        asked.select("query_id", "packed"), index.packed, k or index.settings.top_k, vector_id="chunk_id",
         query_vector="packed", vector="packed",
     )
 
@@ -71,7 +75,11 @@ def similar(index: Index, snippets: DataFrame, k: int | None = None) -> DataFram
 
 def context_hits(index: Index, questions: DataFrame, k: int | None = None) -> DataFrame:
     """Ranked chunks with their texts: query_id, rank, chunk_id, distance, content, …"""
-    hits = cut_lineage(search(index, questions, k))
+    return _with_texts(index, search(index, questions, k))
+
+
+def _with_texts(index: Index, hits: DataFrame) -> DataFrame:
+    hits = cut_lineage(hits)
     chunks = index.chunks.select(
         "chunk_id", "doc_id", "start_line", "end_line", "content", "metadata"
     )
@@ -88,6 +96,8 @@ def ask(
 ) -> DataFrame:
     """One row per question (query_id, query), also for those that cannot be answered.
 
+    A question that is empty, that the embedder fails on, or one of whose prompts the
+    generator fails on has the status 'error' and says why; others are answered all the same.
     query_id, query, status, response, sources, confidence, timestamp, metadata.  Without
     a generator the response is the packed context.
     """
@@ -97,8 +107,11 @@ def ask(
         return _result(asked.withColumn("status", F.lit("no_index")), NO_INDEX_MESSAGE, now)
     blank = F.coalesce(F.trim("query"), F.lit("")) == ""
     bad = asked.filter(blank).withColumn("status", F.lit("error"))
-    good = asked.filter(~blank)
-    hits = cut_lineage(context_hits(index, good, k))
+    embedded = cut_lineage(_embedded(index, asked.filter(~blank), "null"))
+    lost = embedded.filter("packed is null").select("query_id", "query", F.lit("error").alias("status"))
+    embedded = embedded.filter("packed is not null")
+    good = embedded.select("query_id", "query")
+    hits = cut_lineage(_with_texts(index, _nearest(index, embedded, k)))
     packs = with_packs(hits, budget)
     answers = _answers(packs, good, generator, budget)
     found = sources_per_query(
@@ -112,18 +125,23 @@ def ask(
             F.transform("hits", lambda h: file_path(h["metadata"])), show_sources
         ).alias("_listing"),
     )
+    failed = F.col("error").isNotNull()
+    none = F.array().cast(_SOURCES)
     done = (
         good.join(answers, "query_id", "left").join(found, "query_id", "left")
         .select(
-            "query_id", "query", F.lit("ok").alias("status"),
-            F.concat(F.coalesce("response", F.lit("")), F.coalesce("_listing", F.lit("")))
+            "query_id", "query", F.when(failed, "error").otherwise("ok").alias("status"),
+            F.when(failed, F.concat(F.lit(ERROR_PREFIX), "error"))
+            .otherwise(F.concat(F.coalesce("response", F.lit("")), F.coalesce("_listing", F.lit(""))))
             .alias("response"),
-            F.coalesce("sources", F.array().cast(_SOURCES)).alias("sources"),
+            F.when(failed, none).otherwise(F.coalesce("sources", none)).alias("sources"),
             F.lit(0.0).alias("confidence"), now.alias("timestamp"),
             F.create_map(F.lit("timestamp"), stamp(now)).alias("metadata"),
         )
     )
-    return done.unionByName(_result(bad, f"{ERROR_PREFIX}empty query", now))
+    return done.unionByName(_result(bad, f"{ERROR_PREFIX}empty query", now)).unionByName(
+        _result(lost, f"{ERROR_PREFIX}the query could not be embedded", now)
+    )
 
 
 _SOURCES = (
@@ -150,41 +168,63 @@ def prompts(packs: DataFrame, questions: DataFrame) -> DataFrame:
 def _answers(
     packs: DataFrame, questions: DataFrame, generator: Generator | None, budget: int
 ) -> DataFrame:
-    """query_id, response."""
+    """query_id, response, error (why there is no response)."""
     if generator is None:
         return (
             packed_context(packs)
             .groupBy("query_id")
             .agg(F.sort_array(F.collect_list(F.struct("pack_no", "context"))).alias("_c"))
-            .select("query_id", F.array_join(F.col("_c.context"), "\n\n").alias("response"))
+            .select(
+                "query_id", F.array_join(F.col("_c.context"), "\n\n").alias("response"),
+                F.lit(None).cast("string").alias("error"),
+            )
         )
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            said = _said(generator, batch)
             yield pd.DataFrame(
                 {
                     "query_id": batch["query_id"],
                     "rank": batch["pack_no"],
-                    "content": generator(batch),
+                    "content": pd.Series([s for s, _ in said], index=batch.index, dtype=object),
+                    "error": pd.Series([e for _, e in said], index=batch.index, dtype=object),
                 }
             )
 
     kind = questions.schema["query_id"].dataType.simpleString()
     done: DataFrame | None = None
-    for _ in range(_MOST_LEVELS):
+    while True:
         texts = cut_lineage(
             prompts(packs, questions).mapInPandas(
-                write, f"query_id {kind}, rank int, content string"
+                write, f"query_id {kind}, rank int, content string, error string"
             )
         )
-        # One text for a query is its answer; more are packed and summarised again.
-        several = texts.filter(F.col("rank") > 0).select("query_id").distinct()
-        single = texts.join(several, "query_id", "left_anti")
-        done = single if done is None else done.unionByName(single)
+        # One text for a query is its answer, an error ends it; more texts are packed, at
+        # least two to a pack so that they get fewer, and summarised again.
+        state = texts.groupBy("query_id").agg(
+            F.max("rank").alias("_last"), F.max("content").alias("response"), F.min("error").alias("error")
+        )
+        open_ = (F.col("_last") > 0) & F.col("error").isNull()
+        ended = state.filter(~open_).drop("_last")
+        done = ended if done is None else done.unionByName(ended)
+        several = cut_lineage(state.filter(open_).select("query_id"))
         if several.isEmpty():
-            return done.select("query_id", F.col("content").alias("response"))
-        packs = with_packs(texts.join(several, "query_id", "left_semi"), budget)
-    raise RuntimeError(f"no single answer after {_MOST_LEVELS} levels of summarising")
+            return done
+        packs = with_packs(texts.join(several, "query_id", "left_semi").drop("error"), budget, least=2)
+
+
+def _said(generator: Generator, batch: pd.DataFrame) -> list[tuple[str | None, str | None]]:
+    """(text, error) of every prompt; where a batch fails, its prompts are tried one by one."""
+    try:
+        texts = list(generator(batch))
+        if len(texts) != len(batch):
+            raise ValueError(f"{len(texts)} texts for {len(batch)} prompts")
+        return [(text, None) for text in texts]
+    except Exception as e:
+        if len(batch) == 1:
+            return [(None, str(e) or type(e).__name__)]
+    return [_said(generator, batch.iloc[i:i + 1])[0] for i in range(len(batch))]
 
 
 def answered(results: DataFrame, conv_id: str = "conv_id") -> DataFrame:

@@ -38,8 +38,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Marks a table for broadcast after counting it; a larger one is left to Catalyst."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Marks a table for broadcast after counting it; a larger one is left to Catalyst.
+
+    Counted where its rows are: of a written table only the footers are read.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

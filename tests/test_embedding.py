@@ -61,6 +61,20 @@ def test_failures_keep_their_cause(spark):
     assert rows[0]["embedding"] is not None and rows[1]["embedding"] is None
 
 
+def test_one_bad_text_costs_no_other_its_vector(spark):
+    def start():
+        def encode(texts):
+            if "bad" in texts:
+                raise OSError("no memory")
+            return np.ones((len(texts), 2))
+
+        return encode
+
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None), (4, "fine")], TEXTS).coalesce(1)
+    rows = with_embedding(df, Embedder("fails", 2, start, batch_size=8), on_error="null").orderBy("doc_id").collect()
+    assert [r["embedding"] is not None for r in rows] == [True, False, False, True]
+
+
 def test_model_that_cannot_start(spark):
     def start():
         raise OSError("no such file")

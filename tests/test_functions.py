@@ -85,6 +85,20 @@ def test_language(spark, language):
     assert one(spark, CODE[language], language_label("s"))[0] == language
 
 
+@pytest.mark.parametrize(("language", "text"), [
+    ("sql", "select " + ", ".join(f"column_{i}" for i in range(5000)) + " from t"),
+    ("css", "p { font-family: " + "serif, " * 2000 + "sans; }"),
+    ("python", "x\nclass Long(" + "Base, " * 2000 + "):\n"),
+])
+def test_language_of_long_matches(spark, language, text):
+    assert one(spark, text, language_label("s"))[0] == language
+
+
+def test_language_of_long_texts_without_a_match(spark):
+    text = "select a, " * 20000 + "\nclass a" * 20000 + "{ a: b" * 20000
+    assert one(spark, text, language_label("s"))[0] == "unknown"
+
+
 def test_language_ties_go_to_the_first_name(spark):
     rules = [("B", ("x",), "x", 2), ("a", ("x",), "x", 2), ("c", ("y",), "y", 1)]
     assert one(spark, "xy", language_label("s", rules))[0] == "a"

@@ -177,10 +177,22 @@ def test_generator_sees_system_text_and_all_packs(spark, index):
     assert rows[0]["response"].startswith("add|0|") and len(rows[0]["sources"]) == 3
 
 
-def test_endless_summaries_are_an_error(spark, index, monkeypatch):
-    monkeypatch.setattr(A, "_MOST_LEVELS", 2)
-    with pytest.raises(RuntimeError, match="2 levels"):
-        A.ask(index, questions(spark, "add"), 3, lambda b: ["w " * 50] * len(b), budget=12)
+def test_summaries_that_get_no_shorter_come_to_an_end(spark, index):
+    row = A.ask(index, questions(spark, "add"), 3, lambda b: ["w " * 50] * len(b), budget=12).first()
+    assert (row["status"], row["response"]) == ("ok", "w " * 50)
+
+
+def test_a_failing_question_is_a_row(spark, index):
+    def refuse(batch):
+        if "bad" in list(batch["query"]):
+            raise ValueError("no answer to that")
+        return ["fine"] * len(batch)
+
+    rows = A.ask(index, questions(spark, "add", "bad", "", "sub"), 2, refuse).collect()
+    got = {r["query"]: (r["status"], r["response"]) for r in rows}
+    assert got["add"] == got["sub"] == ("ok", "fine")
+    assert got["bad"][0] == "error" and got["bad"][1].endswith("no answer to that")
+    assert got[""][0] == "error" and len(rows) == 4
 
 
 def test_packs_and_context(spark):
