@@ -7,14 +7,18 @@ tokens and one unknown are mixed by weights of the context's bucket b, the power
 c(h, .).  The weights come from expectation-maximisation on a fold of the training documents
 whose own counts are taken off the estimates first (deleted), so they are learned on unseen text.
 
-Counts cover every training document.  The table of words is kept whole and grows with the
-corpus: a document's rarer words are looked up in it by a shuffle of just those words.  What is
-broadcast has a proven size: words that make up `frequent` of all tokens or more (at most
-1 / frequent), and pairs with at least that share whose two words have the share `core` each; the
-estimates of pairs run over kept pairs, so probabilities add up to one.
+Counts cover every word and every pair of words of every training document; nothing is cut by
+its share.  Every token is followed by one, so c(h, .) is the count of h.  Where c(h, .) is 0
+the pair's weight is 0 and the others are raised to a sum of one, so probabilities add up to one.
+
+Documents are written once in blocks of about `block_tokens` tokens.  A block asks once for each
+of its different words and pairs; what it asks carries its own counts, so one shuffle both counts
+and looks up.  Keys are dealt to slices by their first bits, and their number grows with the
+corpus, so a slice stays bounded and a frequent key costs one entry a block.  The answers are
+totals in the order of the keys and go back to the block by themselves.
 
 Texts are lowered (A-Z), cut into words, and end with an end token that also stands before the
-first word.  Words are told apart by 64-bit hashes.  The bits held out for scoring
+first word.  Words and pairs are told apart by 64-bit hashes.  The bits held out for scoring
 are documents whose crc32 of the id as text leaves 0 by `folds`; fold 1 is the one EM learns on.
 A null text is empty (an end token); a null id counts as the empty string, so it is
 held out.  Repeated rows are counted and scored each.  Without training documents N and V are 0
@@ -33,21 +37,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .words import batch_hashes, lower, mix, pieces, signed, texts_of
+from .words import batch_hashes, lower, mix, pieces, texts_of
 
 FOLDS = 10
 TUNE_FOLD = 1
 FREQUENT = 1e-6
-CORE = 1e-5
+BLOCK_TOKENS = 2_000_000
 BUCKETS = 48
 ROUNDS = 60
 # Estimates go into the EM statistics in steps of a quarter of a power of two.
 STEPS_PER_BIT = 4
 LEVELS = 400
-FLUSH = 2_000_000
 ADD = 0.1
 
-END = int(mix(np.array([0x656E64], dtype=np.uint64)).view(np.int64)[0])
+END = mix(np.array([0x656E64], dtype=np.uint64))[0]
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+# Kinds of blocks: held out, learned on by EM, other training documents.
+HELD, TUNED, OTHER = 0, 1, 2
 
 
 def fold_of(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -58,126 +64,201 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes (words and an end for each text) and where each text's begin."""
     words, at = batch_hashes([lower(t) for t in texts_of(batch)])
     n = len(at) - 1
-    out = np.insert(signed(words), at[1:], END)
-    return out, at + np.arange(n + 1)
+    return np.insert(words, at[1:], END), at + np.arange(n + 1)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers by planes of bytes, compressed; small ones cost about a byte."""
+    planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data), dtype=np.uint64)
+
+
+def _blocks(block_tokens: int, id_type: pa.DataType) -> callable:
+    """Documents of one kind together: their ids, lengths, words and the words' numbers."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made = TaskContext.get().partitionId() << 32, 0
+        ids, tokens, lengths = ([[] for _ in range(3)] for _ in range(3))
+        size = [0, 0, 0]
+
+        def out(kind: int) -> pa.RecordBatch:
+            words, number, count = np.unique(np.concatenate(tokens[kind]), return_inverse=True, return_counts=True)
+            # Frequent words get small numbers, which compress well.
+            order = np.argsort(-count, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            names = pa.chunked_array(ids[kind], type=id_type).combine_chunks()
+            row = [
+                pa.array([first + made]), pa.array([kind], pa.int32()), pa.array([-1], pa.int32()),
+                pa.array([size[kind]]), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),
+                pa.array([_packed(np.concatenate(lengths[kind]))], pa.binary()),
+                pa.array([words[order].tobytes()], pa.binary()), pa.array([_packed(place[number])], pa.binary()),
+            ]
+            ids[kind], tokens[kind], lengths[kind], size[kind] = [], [], [], 0
+            return pa.RecordBatch.from_arrays(
+                row, ["block", "kind", "slice", "n_tokens", "doc_ids", "lengths", "words", "data"]
+            )
+
+        for batch in pieces(batches, "text"):
+            hashes, at = _tokens(batch)
+            length = np.diff(at)
+            fold = batch.column("fold").to_numpy()
+            kinds = np.where(fold == 0, HELD, np.where(fold == TUNE_FOLD, TUNED, OTHER))
+            by_token = np.repeat(kinds, length)
+            for kind in np.unique(kinds).tolist():
+                mine = kinds == kind
+                ids[kind].append(batch.column("doc_id").filter(pa.array(mine)))
+                tokens[kind].append(hashes[by_token == kind])
+                lengths[kind].append(length[mine])
+                size[kind] += int(length[mine].sum())
+                if size[kind] >= block_tokens:
+                    yield out(kind)
+                    made += 1
+        for kind in (HELD, TUNED, OTHER):
+            if size[kind]:
+                yield out(kind)
+                made += 1
+
+    return rows
 
 
-def _previous(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[at[:-1]] = END
-    return before
+class Block:
+    """A block's tokens, contexts and pairs as numbers among its ascending keys."""
 
+    def __init__(self, lengths: bytes, words: bytes, data: bytes):
+        hashes = np.frombuffer(words, dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.words = hashes[order]
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.word = place[_unpacked(data).astype(np.int64)]
+        length = _unpacked(lengths).astype(np.int64)
+        self.starts = np.cumsum(length) - length
+        self.lengths = length
+        self.context = np.empty_like(self.word)
+        self.context[1:] = self.word[:-1]
+        self.context[self.starts] = np.searchsorted(self.words, END)
+        keys = mix(self.words[self.context] * _PAIR + self.words[self.word])
+        self.pairs, self.pair, self.pair_n = np.unique(keys, return_inverse=True, return_counts=True)
 
-class _Sums:
-    """Counts by key, all and of the tuning fold, given out in blocks."""
+    def word_n(self) -> np.ndarray:
+        return np.bincount(self.word, minlength=len(self.words))
 
-    def __init__(self) -> None:
-        self.keys: list[np.ndarray] = []
-        self.tuned: list[np.ndarray] = []
-        self.size = 0
 
-    def add(self, keys: np.ndarray, tuned: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.tuned.append(tuned)
-        self.size += len(keys)
+def _ask(bits: int) -> callable:
+    """Each block's words and pairs with its counts, cut into slices by the keys' first bits."""
 
-    def out(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            keys, which = np.unique(np.concatenate(self.keys), return_inverse=True)
-            n = np.bincount(which)
-            m = np.bincount(which, weights=np.concatenate(self.tuned)).astype(np.int64)
-            self.__init__()
-            for i in range(0, len(keys), 100_000):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, kind, *given = (batch.column(c)[i].as_py() for c in ("block", "kind", "lengths", "words", "data"))
+                b = Block(*given)
+                slices, keys, counts = [], [], []
+                for base, key, n in ((0, b.words, b.word_n()), (1 << bits, b.pairs, b.pair_n)):
+                    at = np.append(np.searchsorted(key, edges), len(key))
+                    for s in np.flatnonzero(np.diff(at)).tolist():
+                        slices.append(base + s)
+                        keys.append(_packed_keys(key[at[s]:at[s + 1]]))
+                        counts.append(_packed(n[at[s]:at[s + 1]]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[i:i + 100_000]) for c in (keys, n, m)], ["h", "n", "m"]
+                    [
+                        pa.array(slices, pa.int32()), pa.array([block] * len(slices), pa.int64()),
+                        pa.array([kind] * len(slices), pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()),
+                    ],
+                    ["slice", "block", "kind", "keys", "counts"],
                 )
 
+    return rows
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = _Sums()
-    for batch in pieces(batches, "text"):
-        tokens, at = _tokens(batch)
-        tuned = batch.column("fold").to_numpy() == TUNE_FOLD
-        sums.add(tokens, np.repeat(tuned, np.diff(at)))
-        if sums.size >= FLUSH:
-            yield from sums.out()
-    yield from sums.out()
-
-
-class Model:
-    """The broadcast part: frequent words, kept pairs of core words, weights by bucket."""
-
-    def __init__(self, words: pa.Table, total: int, tuned: int, kinds: int):
-        h = words.column("h").to_numpy()
-        order = np.argsort(h, kind="stable")
-        self.h = h[order]
-        self.n = words.column("n").to_numpy()[order]
-        self.m = words.column("m").to_numpy()[order]
-        self.total, self.tuned, self.kinds = total, tuned, kinds
-        core = self.n >= CORE * max(total, 1)
-        # Core words are numbered; others are -1.
-        self.core = np.where(core, np.cumsum(core) - 1, -1).astype(np.int64)
-        self.size = int(core.sum())
-        self.pairs(pa.table({"h": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "m": pa.array([], pa.int64())}))
-        self.weights = np.tile([0.5, 0.4, 0.1], (BUCKETS, 1))
-
-    def pairs(self, table: pa.Table) -> None:
-        order = np.argsort(table.column("h").to_numpy(), kind="stable")
-        self.pair = table.column("h").to_numpy()[order]
-        self.pair_n = table.column("n").to_numpy()[order]
-        self.pair_m = table.column("m").to_numpy()[order]
-        first = self.pair // max(self.size, 1)
-        self.after_n = np.bincount(first, weights=self.pair_n, minlength=self.size + 1)
-        self.after_m = np.bincount(first, weights=self.pair_m, minlength=self.size + 1)
-
-    @staticmethod
-    def _find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Where each wanted key stands, -1 if it is not known."""
-        if not len(known):
-            return np.full(len(wanted), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-        return np.where(known[at] == wanted, at, -1)
-
-    def places(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: its frequent word, its context's core number, its pair's number."""
-        word = self._find(self.h, tokens)
-        numbers = np.append(self.core, -1)
-        core = numbers[word]
-        # The end token stands before the first word.
-        end = numbers[self._find(self.h, np.array([END]))[0]]
-        context = np.empty_like(core)
-        context[1:] = core[:-1]
-        context[at[:-1]] = end
-        pair = np.full(len(tokens), -1, dtype=np.int64)
-        both = (core >= 0) & (context >= 0)
-        pair[both] = self._find(self.pair, context[both] * self.size + core[both])
-        return word, context, pair
-
-    def count_pairs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
-        for batch in pieces(batches, "text"):
-            tokens, at = _tokens(batch)
-            numbers = np.append(self.core, -1)
-            core = numbers[self._find(self.h, tokens)]
-            context = np.empty_like(core)
-            context[1:] = core[:-1]
-            context[at[:-1]] = numbers[self._find(self.h, np.array([END]))[0]]
-            both = (core >= 0) & (context >= 0)
-            tuned = np.repeat(batch.column("fold").to_numpy() == TUNE_FOLD, np.diff(at))
-            sums.add(context[both] * self.size + core[both], tuned[both])
-            if sums.size >= FLUSH:
-                yield from sums.out()
-        yield from sums.out()
-
-    def bucket(self, deleted: bool) -> np.ndarray:
-        """The bucket of each core context; the last entry is for all other contexts."""
-        c = self.after_n - self.after_m if deleted else self.after_n
-        out = np.zeros(len(c), dtype=np.int64)
-        some = c > 0
-        out[some] = np.minimum(1 + np.log2(c[some]).astype(np.int64), BUCKETS - 1)
-        out[-1] = 0
-        return out
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str, names: list[str]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows that follow each other and have one key, as tuples of the named columns."""
+    last, rows = None, []
+    for batch in batches:
+        columns = [batch.column(c) for c in names]
+        for i, k in enumerate(batch.column(key).to_pylist()):
+            if rows and k != last:
+                yield last, rows
+                rows = []
+            last = k
+            rows.append(tuple(c[i] for c in columns))
+    if rows:
+        yield last, rows
+
+
+def _answer(bits: int) -> callable:
+    """For what each block asked: totals of training and, for those EM learns on, of their fold."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, asked in _groups(batches, "slice", ["block", "kind", "keys", "counts"]):
+            asked = [tuple(x.as_py() for x in r) for r in asked]
+            keys = [_unpacked_keys(r[2]) for r in asked]
+            size = np.array([len(k) for k in keys])
+            counts = np.concatenate([_unpacked(r[3]) for r in asked]).astype(np.int64)
+            kind = np.repeat(np.array([r[1] for r in asked]), size)
+            known, which = np.unique(np.concatenate(keys), return_inverse=True)
+            n, m = np.zeros(len(known), dtype=np.int64), np.zeros(len(known), dtype=np.int64)
+            np.add.at(n, which[kind != HELD], counts[kind != HELD])
+            np.add.at(m, which[kind == TUNED], counts[kind == TUNED])
+            data, end = [], 0
+            for r, k in zip(asked, size.tolist()):
+                mine = which[end:end + k]
+                end += k
+                data.append(_packed(np.concatenate([n[mine], m[mine]]) if r[1] == TUNED else n[mine]))
+            kinds = [0] * len(asked)
+            if s < 1 << bits:
+                kinds[0] = int((n > 0).sum())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[0] for r in asked], pa.int64()), pa.array([r[1] for r in asked], pa.int32()),
+                    pa.array([s] * len(asked), pa.int32()), pa.array(data, pa.binary()), pa.array(kinds, pa.int64()),
+                ],
+                ["block", "kind", "slice", "data", "kinds"],
+            )
+
+    return rows
+
+
+def _with_totals(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple]:
+    """Every block with its ids, kind and totals: of words, of pairs, and both of the tuning fold."""
+    for _, rows in _groups(batches, "block", ["slice", "kind", "doc_ids", "lengths", "words", "data"]):
+        (_, kind, ids, *given), *answers = rows
+        block, kind = Block(*(g.as_py() for g in given)), kind.as_py()
+        totals = {True: ([], []), False: ([], [])}
+        for r in answers:
+            n = _unpacked(r[5].as_py()).astype(np.int64)
+            half = len(n) // 2 if kind == TUNED else len(n)
+            part = totals[r[0].as_py() < 1 << bits]
+            part[0].append(n[:half])
+            part[1].append(n[half:])
+        word_n, word_m, pair_n, pair_m = (np.concatenate(x) for first in (True, False) for x in totals[first])
+        if len(word_n) != len(block.words) or len(pair_n) != len(block.pairs):
+            raise ValueError("a block did not get an answer to each of its keys")
+        yield block, kind, ids.values, word_n, word_m, pair_n, pair_m
+
+
+def _bucket(c: np.ndarray) -> np.ndarray:
+    """0 for a context never seen, else one more than the power of two."""
+    out = np.zeros(len(c), dtype=np.int64)
+    some = c > 0
+    out[some] = np.minimum(1 + np.log2(c[some]).astype(np.int64), BUCKETS - 1)
+    return out
 
 
 def _level(p: np.ndarray) -> np.ndarray:
@@ -192,31 +273,18 @@ def _estimate(level: np.ndarray) -> np.ndarray:
     return np.where(level == LEVELS, 0.0, 2.0 ** (-level / STEPS_PER_BIT))
 
 
-def _tuning_rows(shared) -> callable:
-    """Events of the tuning fold by bucket and estimates; rarer words with their hash."""
+def _tuning_rows(bits: int, left: int) -> callable:
+    """Events of the tuning fold by bucket and estimates, its own counts taken off."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        bucket = model.bucket(deleted=True)
-        left = max(model.total - model.tuned, 1)
-        one = np.append(_level((model.n - model.m) / left), LEVELS)
-        after = np.append(np.maximum((model.after_n - model.after_m)[:-1], 1), 1)
-        for batch in pieces(batches, "text"):
-            tokens, at = _tokens(batch)
-            word, context, pair = model.places(tokens, at)
-            two = np.zeros(len(tokens))
-            known = pair >= 0
-            two[known] = (model.pair_n - model.pair_m)[pair[known]] / after[context[known]]
-            rare = word < 0
-            cells = (bucket[context] * (LEVELS + 1) + _level(two)) * (LEVELS + 1) + one[word]
-            kinds, n = np.unique(cells[~rare], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(kinds), pa.int64()), pa.array(kinds), pa.array(n)], ["h", "cell", "n"]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[rare]), pa.array(cells[rare]), pa.array(np.ones(rare.sum(), dtype=np.int64))],
-                ["h", "cell", "n"],
-            )
+        for block, _, _, word_n, word_m, pair_n, pair_m in _with_totals(batches, bits):
+            word, pair = word_n - word_m, pair_n - pair_m
+            after = word[block.context]
+            two = _level(pair[block.pair] / np.maximum(after, 1))
+            one = _level(word / max(left, 1))[block.word]
+            cells = (_bucket(word)[block.context] * (LEVELS + 1) + two) * (LEVELS + 1) + one
+            kinds, n = np.unique(cells, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], ["cell", "n"])
 
     return rows
 
@@ -248,127 +316,85 @@ def learn_weights(cells: list[tuple[int, int]], kinds: int) -> np.ndarray:
     return em(np.repeat(pooled, BUCKETS, axis=0), bucket, np.repeat(100 * pooled, BUCKETS, axis=0))
 
 
-def _score_rows(shared) -> callable:
-    """One row per document: sums over frequent words, and its rarer words to look up."""
+def usable_weights(weights: np.ndarray, total: int) -> np.ndarray:
+    """The weights without those of estimates that do not exist, raised to a sum of one."""
+    out = weights.copy()
+    out[0, 0] = 0
+    if not total:
+        out[:, :2] = 0
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def _score_rows(bits: int, weights: np.ndarray, total: int, kinds: int) -> callable:
+    """One row per document: sums over its tokens."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        bucket = model.bucket(deleted=False)
-        weights = model.weights[bucket]
-        unknown = 1 / (model.kinds + 1)
-        total = max(model.total, 1)
-        one = model.n / total
-        after = np.maximum(model.after_n, 1)
-        base = np.log10((model.n + ADD) / (model.total + ADD * (model.kinds + 1)))
-        task, row = TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, "text"):
-            tokens, at = _tokens(batch)
-            word, context, pair = model.places(tokens, at)
-            w = weights[context]
-            p = w[:, 2] * unknown
-            freq = word >= 0
-            p[freq] += w[freq, 1] * one[word[freq]]
-            known = pair >= 0
-            p[known] += w[known, 0] * model.pair_n[pair[known]] / after[context[known]]
-            score = np.where(freq, np.log10(p), 0.0)
-            based = np.zeros(len(tokens))
-            based[freq] = base[word[freq]]
-            starts = at[:-1]
-            rare = ~freq
-            counts = np.add.reduceat(rare, starts, dtype=np.int64)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((np.int64(task) << 36) + row + np.arange(n)),
-                    batch.column("doc_id"), batch.column("fold"), pa.array(np.diff(at)),
-                    pa.array(np.add.reduceat(freq, starts, dtype=np.int64)),
-                    pa.array(np.add.reduceat(based, starts)), pa.array(np.add.reduceat(score, starts)),
-                    pa.ListArray.from_arrays(offsets, pa.array(tokens[rare])),
-                    pa.ListArray.from_arrays(offsets, pa.array(bucket[context[rare]].astype(np.int8))),
-                ],
-                ["key", "doc_id", "fold", "n_tokens", "n_known", "base_score", "score", "rare", "rare_bucket"],
-            )
-            row += n
+        for block, kind, ids, word_n, _, pair_n, _ in _with_totals(batches, bits):
+            w = weights[_bucket(word_n)[block.context]]
+            p = w[:, 0] * pair_n[block.pair] / np.maximum(word_n[block.context], 1)
+            p += w[:, 1] * (word_n / max(total, 1))[block.word] + w[:, 2] / (kinds + 1)
+            base = np.log10((word_n + ADD) / (total + ADD * (kinds + 1)))
+            sums = [
+                np.add.reduceat(x, block.starts)
+                for x in ((word_n > 0)[block.word].astype(np.int64), base[block.word], np.log10(p))
+            ]
+            n = len(block.lengths)
+            for i in range(0, n, 10_000):
+                part = slice(i, i + 10_000)
+                size = len(block.lengths[part])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids[part], pa.array(np.full(size, kind == HELD)), pa.array(block.lengths[part]),
+                        pa.array(sums[0][part]), pa.array(np.full(size, total, dtype=np.int64)),
+                        pa.array(sums[1][part]), pa.array(sums[2][part]),
+                    ],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
     return rows
 
 
 def score_documents(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: float = FREQUENT
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: float = FREQUENT,
+    block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """One row per document: its log10 probability under the model and under the base.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    `frequent` is taken for older callers: no word or pair is treated by its share any more.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), fold_of(F.col(doc_id)).alias("fold"))
-    train = rows.filter("fold <> 0").select("text", "fold")
-    words = cut_lineage(
-        train.mapInArrow(_count_words, "h long, n long, m long")
-        .groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    )
-    size = words.agg(F.sum("n"), F.sum("m"), F.count("*")).first()
-    total, tuned, kinds = size[0] or 0, size[1] or 0, size[2]
-    model = Model(words.filter(F.col("n") >= frequent * total).toArrow(), total, tuned, kinds)
-    shared = spark.sparkContext.broadcast(model)
-    pairs = (
-        train.mapInArrow(lambda b: shared.value.count_pairs(b), "h long, n long, m long")
-        .groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-        .filter(F.col("n") >= max(frequent * total, 2))
-    )
-    model.pairs(pairs.toArrow())
-    model.weights = _weights(rows, words, model)
-    shared = spark.sparkContext.broadcast(model)
-    scored = cut_lineage(rows.mapInArrow(
-        _score_rows(shared),
-        f"key long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, fold int, n_tokens long, "
-        "n_known long, base_score double, score double, rare array<long>, rare_bucket array<tinyint>",
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    sample = rows.select("doc_id").limit(0).toArrow().schema.field("doc_id").type
+    blocks = cut_lineage(rows.mapInArrow(
+        _blocks(block_tokens, sample),
+        f"block long, kind int, slice int, n_tokens long, doc_ids array<{id_type}>, lengths binary, words binary, data binary",
     ))
-    asked = scored.select("key", F.explode(F.arrays_zip("rare", "rare_bucket")).alias("x")).select(
-        "key", F.col("x.rare").alias("h"), F.col("x.rare_bucket").cast("int").alias("b")
-    )
-    n = F.coalesce("n", F.lit(0))
-    w1 = F.get(F.array(*[F.lit(float(w)) for w in model.weights[:, 1]]), F.col("b"))
-    w0 = F.get(F.array(*[F.lit(float(w)) for w in model.weights[:, 2]]), F.col("b"))
-    found = (
-        asked.join(words.select("h", "n"), "h", "left")
-        .select(
-            "key", (n > 0).cast("long").alias("known"),
-            F.log10((n + ADD) / F.lit(total + ADD * (kinds + 1))).alias("base"),
-            F.log10(w1 * n / F.lit(float(max(total, 1))) + w0 / F.lit(float(kinds + 1))).alias("score"),
-        )
-        .groupBy("key").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("score").alias("more_score"))
-    )
-    return scored.drop("rare", "rare_bucket").join(found, "key", "left").select(
-        "doc_id", (F.col("fold") == 0).alias("held_out"), "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
+    of_kind = {r["kind"]: r["n"] for r in blocks.groupBy("kind").agg(F.sum("n_tokens").alias("n")).collect()}
+    tuned = of_kind.get(TUNED, 0)
+    total = tuned + of_kind.get(OTHER, 0)
+    # Slices hold about a block's tokens each, however large the corpus is.
+    bits = max(1, math.ceil(math.log2(max(1, sum(of_kind.values()) / block_tokens))))
+    answers = cut_lineage(
+        blocks.mapInArrow(_ask(bits), "slice int, block long, kind int, keys binary, counts binary")
+        .repartition("slice").sortWithinPartitions("slice")
+        .mapInArrow(_answer(bits), "block long, kind int, slice int, data binary, kinds long")
     )
+    kinds = answers.agg(F.sum("kinds")).first()[0] or 0
+    given = blocks.drop("n_tokens").unionByName(answers.drop("kinds"), allowMissingColumns=True)
 
+    def together(part: DataFrame) -> DataFrame:
+        return part.repartition("block").sortWithinPartitions("block", "slice")
 
-def _weights(rows: DataFrame, words: DataFrame, model: Model) -> np.ndarray:
-    """The weights learned on the tuning fold with its own counts taken off."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    events = cut_lineage(
-        rows.filter(F.col("fold") == TUNE_FOLD).select("text")
-        .mapInArrow(_tuning_rows(shared), "h long, cell long, n long")
-        .groupBy("h", "cell").agg(F.sum("n").alias("n"))
-    )
-    left = float(max(model.total - model.tuned, 1))
-    share = (F.col("w.n") - F.col("w.m")) / left
-    step = F.when(share > 0, F.least(F.round(-F.log2(share) * STEPS_PER_BIT), F.lit(LEVELS - 1))).otherwise(LEVELS)
-    looked_up = (
-        events.filter("h is not null").alias("e").join(words.alias("w"), "h")
-        .select((F.col("cell") - LEVELS + step.cast("long")).alias("cell"), F.col("e.n").alias("n"))
-    )
     cells = (
-        events.filter("h is null").select("cell", "n").unionByName(looked_up)
+        together(given.filter(F.col("kind") == TUNED)).mapInArrow(_tuning_rows(bits, total - tuned), "cell long, n long")
         .groupBy("cell").agg(F.sum("n").alias("n")).collect()
     )
-    return learn_weights([(r["cell"], r["n"]) for r in cells], model.kinds)
+    weights = usable_weights(learn_weights([(r["cell"], r["n"]) for r in cells], kinds), total)
+    return together(given).mapInArrow(
+        _score_rows(bits, weights, total, kinds),
+        f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+    )
 
 
 def perplexity(score: float, tokens: int) -> float:

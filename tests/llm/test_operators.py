@@ -4,7 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
-from math import log10
+from math import log2, log10
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +134,57 @@ def test_language_model(docs, empty):
     assert lm.score_documents(empty).count() == 0
 
 
+def test_language_model_against_counts(docs):
+    """Scores are those of all counted pairs and the learned weights, whatever the size of blocks."""
+    rows = docs.select("doc_id", "text").collect()
+    fold = [zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 10 for r in rows]
+    tokens = [[w.lower() for w in _split(r.text)] + [None] for r in rows]
+
+    def counts(folds):
+        word, pair = Counter(), Counter()
+        for f, ts in zip(fold, tokens):
+            if f in folds:
+                word.update(ts)
+                pair.update(zip([None] + ts[:-1], ts))
+        return word, pair
+
+    def bucket(c):
+        return c.bit_length()
+
+    def level(p):
+        return min(round(-log2(p) * lm.STEPS_PER_BIT), lm.LEVELS - 1) if p else lm.LEVELS
+
+    word, pair = counts(range(1, 10))
+    left, left_pair = counts(range(2, 10))
+    n, v, n_left = sum(word.values()), len(word), sum(left.values())
+    cells = Counter()
+    for f, ts in zip(fold, tokens):
+        for h, w in zip([None] + ts[:-1], ts) if f == 1 else ():
+            two = level(left_pair[h, w] / left[h] if left[h] else 0)
+            cells[(bucket(left[h]) * (lm.LEVELS + 1) + two) * (lm.LEVELS + 1) + level(left[w] / n_left)] += 1
+    a = lm.usable_weights(lm.learn_weights(sorted(cells.items()), v), n)
+    assert abs(a.sum(axis=1) - 1).max() < 1e-9 and a[0, 0] == 0
+
+    def score(ts):
+        out = 0.0
+        for h, w in zip([None] + ts[:-1], ts):
+            w2, w1, w0 = a[bucket(word[h])]
+            out += log10(w2 * pair[h, w] / max(word[h], 1) + w1 * word[w] / n + w0 / (v + 1))
+        return out
+
+    want = _sorted((r.doc_id, len(ts), round(score(ts), 6)) for r, ts in zip(rows, tokens))
+    assert any(x == 1 for x in pair.values())
+    for size in (lm.BLOCK_TOKENS, 50):
+        got = lm.score_documents(docs, block_tokens=size).collect()
+        assert _sorted((r.doc_id, r.n_tokens, round(r.score, 6)) for r in got) == want
+
+
+def test_language_model_without_training(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    got = lm.score_documents(spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")).collect()
+    assert len(got) == len(held) and all(r.score == 0 and r.base_score == 0 and r.train_tokens == 0 for r in got)
+
+
 def test_repeated_ids_are_scored_each(spark):
     """Rows with one id are scored one by one, and no probability is above one."""
     known = ["aa", "bb", "cc", "dd"]
