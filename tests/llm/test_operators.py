@@ -294,6 +294,26 @@ def test_decontamination(docs, empty, spark, texts):
         decontam.find_overlap(docs, bench, max_words=3)
 
 
+def test_decontamination_in_blocks(docs, spark, texts):
+    """A benchmark cut into blocks gives the rows of one in a single block; none is refused by its size."""
+    passage = texts[9].split()
+    items = [(i, " ".join(passage[5 * i:5 * i + 18 + i])) for i in range(12)]
+    items += [(3, " ".join(passage)), (20, "TWO, words!"), (21, None), (22, ""), (None, texts[30]), (23, texts[-1]), (24, "one")]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(2)
+
+    def rows(n):
+        got = decontam.find_overlap(docs, bench, block_words=n).collect()
+        return _sorted((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), tuple(map(tuple, r.hit_spans))) for r in got)
+
+    whole, clean = rows(10_000), _sorted(decontam.drop_contaminated(docs, bench).collect())
+    assert any(len(r[3]) > 2 for r in whole) and 0 < len(clean) < docs.count()
+    n = 115
+    blocks = list(decontam._blocks(bench, "item_id", "text", 10, n))
+    assert len(blocks) > 2 and all(sum(len(decontam.normal_words(t)) for _, t in b) <= n for b in blocks)
+    assert rows(n) == whole
+    assert _sorted(decontam.drop_contaminated(docs, bench, block_words=n).collect()) == clean
+
+
 def test_quality(docs, empty):
     got = quality.quality(docs)
     want = []
