@@ -364,24 +364,41 @@ def similar_documents(
     return Join(docs, doc_id, text, gram, percent).members()
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with all columns, that name their component; one row of each name.
+def _unused(columns: list[str], stem: str) -> str:
+    """A column name that none of `columns` has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    name = stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
-    Rows without an id stay.
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of similar documents, with all its columns unchanged.
+
+    Every row is a document, whatever its id: rows are numbered once (a written table, so the
+    numbers hold when a task is run again) and joined by number.  A group keeps the row with the
+    smallest (null id last, id, 64-bit hash of the text, row number); every other row of it goes,
+    so two rows with one id and unlike texts both stay, and a copy of a smaller id goes even where
+    its own id repeats.  Rows with a null id are grouped like all others.  Texts without words
+    link with nothing and stay.  Extra columns of any name pass through; the private ones get
+    names no column has.  An empty table gives an empty one.
     """
-    members = cut_lineage(similar_documents(docs, doc_id, text).filter("doc_id is not null").select("doc_id", "component_id"))
-    names = members.filter("doc_id = component_id").select("doc_id").dropDuplicates()
-    # Ids that go are fewer than those that stay.
-    gone = cut_lineage(
-        members.filter("doc_id <> component_id").select("doc_id").dropDuplicates().join(names, "doc_id", "left_anti")
-        .select(F.col("doc_id").alias("__id"))
+    row = _unused(docs.columns, "__row")
+    numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    members = similar_documents(
+        numbered.select(F.col(row).alias("doc_id"), F.col(text).alias("text"))
+    ).select(F.col("doc_id").alias("r"), F.col("component_id").alias("c"))
+    order = F.struct(
+        F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"),
+        F.xxhash64(F.col(text)).alias("h"), F.col(row).alias("r"),
+    )
+    keys = numbered.select(F.col(row).alias("r"), order.alias("k"))
+    # Partial minima before the shuffle: a group of any size is a few rows per task.
+    chosen = cut_lineage(
+        members.join(keys, "r").groupBy("c").agg(F.min("k").alias("k")).select(F.col("k.r").alias(row))
     )
-    if gone.count() <= SMALL_IDS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, docs[doc_id] == F.col("__id"), "left_anti")
-    often = cut_lineage(members.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"))
-    if often.isEmpty():
-        return kept
-    # Repeated ids are rare; only their rows are shuffled to be made one.
-    single = kept.join(often, kept[doc_id] == F.col("__id"), "left_anti")
-    return single.unionByName(kept.join(often, kept[doc_id] == F.col("__id"), "left_semi").dropDuplicates([doc_id]))
+    # Row numbers are 8 bytes each, so a broadcast of SMALL_IDS of them stays below 16 MB.
+    if chosen.count() <= SMALL_IDS:
+        chosen = F.broadcast(chosen)
+    return numbered.join(chosen, row, "left_semi").drop(row)

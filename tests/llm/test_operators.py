@@ -107,8 +107,49 @@ def test_jaccard(docs, empty):
     assert jaccard.similar_documents(empty).count() == 0
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    assert len(ids) == len(set(ids)) and set(ids) <= {c for *_, c in want}
+    _check_one_of_each(rows, sets, kept.select("doc_id", "text").collect())
+
+
+def _check_one_of_each(rows, sets, kept):
+    """Brute force: one row stays of each group of rows, the one of the smallest id (null last)."""
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append((r.doc_id is None, r.doc_id if r.doc_id is not None else 0, r.text))
+    best = [min(g)[:2] for g in groups.values()]
+    assert len(kept) == len(groups)
+    got = Counter((r.doc_id is None, r.doc_id if r.doc_id is not None else 0) for r in kept)
+    assert got == Counter(best)
+    # Every kept row is one of the input, and each group lends exactly one.
+    assert all((r.doc_id, r.text) in {(x.doc_id, x.text) for x in rows} for r in kept)
+
+
+def test_one_of_each_rows_not_ids(spark):
+    """Ids repeated with unlike texts, null ids, clashing private names: no text is lost."""
+    rng = random.Random(9)
+    a, b, c = _words(rng, 60), _words(rng, 60), _words(rng, 60)
+    data = [(1, a), (2, a), (2, b), (3, c), (3, b + " x"), (None, c), (None, _words(rng, 40)), (7, None), (8, ""), (8, "")]
+    df = spark.createDataFrame(
+        [(i, t, 5, "clash", 1.0, 2) for i, t in data], "doc_id long, text string, __row int, r string, c double, k int"
+    ).repartition(3)
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.text) for r in kept.collect())
+    want = sorted(((i is None, i or 0), t) for i, t in [(1, a), (2, b), (3, c), (None, data[6][1]), (7, None), (8, ""), (8, "")])
+    assert got == want
+    assert all(r["__row"] == 5 and r.r == "clash" for r in kept.collect())
+    assert jaccard.one_of_each(df.limit(0)).count() == 0
 
 
 def test_language_model(docs, empty):
