@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, lines, lm, mix, phrases, quality, shards, trie, urls
+from . import chat, decontam, jaccard, lines, lm, mix, phrases, quality, shards, trie, urls, variants
 from .sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -91,8 +91,13 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of seven code points or more seen twice, with its form and root."""
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_chat_rotation, op3_repeated_phrases, op4_ngram_jaccard, op5_deleted_interpolation,
     op6_mix_sources, op7_minimax_shards, op8_site_lines, op9_benchmark_overlap, op10_quality_rules,
-    op11_conversation_trie,
+    op11_conversation_trie, op12_spelling_variants,
 )}
