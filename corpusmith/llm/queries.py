@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, lines, lm, mix, phrases, quality, shards, trie, urls, variants
+from . import ann, chat, decontam, jaccard, lines, lm, mix, phrases, quality, shards, trie, urls, variants
 from .sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -96,8 +96,13 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products found for every vector whose id is divisible by 20."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_chat_rotation, op3_repeated_phrases, op4_ngram_jaccard, op5_deleted_interpolation,
     op6_mix_sources, op7_minimax_shards, op8_site_lines, op9_benchmark_overlap, op10_quality_rules,
-    op11_conversation_trie, op12_spelling_variants,
+    op11_conversation_trie, op12_spelling_variants, op13_nearest_neighbours,
 )}
