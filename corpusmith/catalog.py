@@ -346,6 +346,24 @@ def refresh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(I.refresh_index(index, with_metadata(new)))
 
 
+def refresh_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions: a build of the old state, a delta to a middle one, a delta to the new one.
+
+    The merged read of the last delta and the compacted full version, each with all columns of
+    `refresh_index`; both equal an index built anew from the new state.
+    """
+    old, new = snapshots(spark, sf_dir)
+    middle = old.filter(F.col("doc_id") % 7 != 0).withColumn(
+        "text", F.when(F.col("lang") == "de", F.upper("text")).otherwise(F.col("text"))
+    )
+    path = new_folder(spark, "chain")
+    index = I.build_index(with_metadata(old), path, SMALL, hash_embedder(DIM))
+    index = I.refresh_index(index, with_metadata(middle))
+    index = I.refresh_index(I.load_index(spark, path, hash_embedder(DIM)), with_metadata(new))
+    merged = _stored(index).withColumn("stage", F.lit("delta"))
+    return merged.unionByName(_stored(I.compact(index)).withColumn("stage", F.lit("compacted")))
+
+
 # --- files ----------------------------------------------------------------------
 
 
@@ -527,6 +545,7 @@ QUERIES: dict[str, Query] = {
     "index_manifest": index_manifest,
     "refresh_plan": refresh_plan,
     "refresh_index": refresh_index,
+    "refresh_chain": refresh_chain,
     "corpus_profile": corpus_profile,
     "chunk_profile": chunk_profile,
     "load_status": load_status,

@@ -320,6 +320,12 @@ def oracle_sql() -> dict[str, str]:
     {chunks("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS content FROM n",
             C.SMALL.chunk_size, C.SMALL.chunk_overlap)},
     {embed('x', 'chunk', 'chunk_id')} {STORED}""",
+        "refresh_chain": f"""
+    WITH RECURSIVE n AS ({NEW_STATE}),
+    {chunks("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS content FROM n",
+            C.SMALL.chunk_size, C.SMALL.chunk_overlap)},
+    {embed('x', 'chunk', 'chunk_id')}, stored AS ({STORED})
+    SELECT stored.*, s.stage FROM stored CROSS JOIN (VALUES ('delta'), ('compacted')) s(stage)""",
         "corpus_profile": """
     SELECT lang, source, CAST(CASE WHEN GROUPING(lang) = 1 THEN 3 WHEN GROUPING(source) = 1 THEN 1
         ELSE 0 END AS BIGINT) AS grouping,

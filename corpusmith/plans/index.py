@@ -4,6 +4,13 @@ Every build or refresh writes a new version folder and then one manifest row; re
 follow the newest row, so a build that dies leaves the old version in use.  Each table
 is read back from storage before the next step: nothing upstream is computed twice,
 and an executor lost later costs no recomputation of it.
+
+A build or a compaction writes a full version.  A refresh writes a delta on top of the version
+it starts from: the rows of added and changed documents and tombstones of the changed and
+removed ones, so what it writes grows with the change, not with the collection.  Readers merge
+on read: the layers from the last full version up, where a row lives unless a tombstone of its
+document lies in a later layer (newest wins).  `compact` writes the merged tables as a full
+version again.
 """
 
 from __future__ import annotations
@@ -32,8 +39,11 @@ VECTORS = "chunk_id string, doc_id string, packed binary"
 MANIFEST = (
     "version int, model_name string, device string, embedding_dimension int, "
     "batch_size int, is_initialized boolean, chunk_size int, chunk_overlap int, "
-    "n_documents bigint, n_chunks bigint"
+    "n_documents bigint, n_chunks bigint, kind string, parent_version int"
 )
+TOMBSTONES = "doc_id string"
+# Ids of tombstones broadcast to the readers of a delta, by their total bytes.
+_MOST_TOMBSTONE_BYTES = 64 << 20
 # Document ids that may be broadcast (about 100 MB).
 _MOST_BROADCAST = 1_000_000
 _BLOOM = "parquet.bloom.filter.enabled#"
@@ -48,10 +58,29 @@ class Index:
     version: int
     settings: Settings
     embedder: Embedder
+    #: Versions merged on read, the full one first; empty for a full version alone.
+    layers: tuple[int, ...] = ()
 
     def table(self, name: str) -> DataFrame:
         schema = {"documents": DOCUMENTS, "chunks": CHUNKS, "vectors": VECTORS}[name]
-        return self.spark.read.schema(schema).parquet(_folder(self.path, self.version, name))
+        layers = self.layers or (self.version,)
+        read = lambda v: self.spark.read.schema(schema).parquet(_folder(self.path, v, name))
+        if len(layers) == 1:
+            return read(layers[0])
+        rows = None
+        for i, v in enumerate(layers):
+            part = read(v).withColumn("_layer", F.lit(i))
+            rows = part if rows is None else rows.unionByName(part)
+        tombs = None
+        for i, v in enumerate(layers[1:], 1):
+            part = self.spark.read.schema(TOMBSTONES).parquet(_folder(self.path, v, "tombstones")).withColumn("_dead", F.lit(i))
+            tombs = part if tombs is None else tombs.unionByName(part)
+        tombs = tombs.groupBy("doc_id").agg(F.max("_dead").alias("_dead"))
+        size = tombs.agg(F.sum(F.length("doc_id") + 8)).first()[0] or 0
+        if size <= _MOST_TOMBSTONE_BYTES:
+            tombs = F.broadcast(tombs)
+        live = F.col("_dead").isNull() | (F.col("_dead") <= F.col("_layer"))
+        return rows.join(tombs, "doc_id", "left").filter(live).select(*[c.split()[0] for c in schema.split(", ")])
 
     @property
     def documents(self) -> DataFrame:
@@ -128,9 +157,11 @@ def _write(df: DataFrame, path: str, version: int, name: str, bloom: str | None
 
 def _commit(index: Index) -> Index:
     spark, e, s = index.spark, index.embedder, index.settings
+    delta = len(index.layers) > 1
     row = (
         index.version, e.name, "spark", e.dim, e.batch_size, True, s.chunk_size,
         s.chunk_overlap, index.documents.count(), index.chunks.count(),
+        "delta" if delta else "full", index.layers[-2] if delta else None,
     )
     spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(
         f"{index.path.rstrip('/')}/manifest"
@@ -204,7 +235,19 @@ def load_index(spark: SparkSession, path: str, embedder: Embedder | None = None)
             f"Index was built with {row['model_name']}, not with {embedder.name}"
         )
     settings = Settings(row["chunk_size"], row["chunk_overlap"], dim=dim)
-    return Index(spark, path, row["version"], settings, embedder)
+    return Index(spark, path, row["version"], settings, embedder, _layers(spark, path, row))
+
+
+def _layers(spark: SparkSession, path: str, row) -> tuple[int, ...]:
+    """The versions a delta is merged from, its last full version first."""
+    if row["kind"] != "delta":
+        return ()
+    # One row per version ever committed here.
+    parent = {r["version"]: r for r in _manifest(spark, path).select("version", "kind", "parent_version").collect()}
+    layers = [row["version"]]
+    while parent[layers[-1]]["kind"] == "delta":
+        layers.append(parent[layers[-1]]["parent_version"])
+    return tuple(reversed(layers))
 
 
 def refresh_plan(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -224,29 +267,53 @@ def refresh_plan(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def refresh_index(index: Index, docs: DataFrame, on_error: str = "raise") -> Index:
-    """A new version holding exactly `docs`; only added and changed texts are embedded."""
+    """A delta version that holds exactly `docs`; only added and changed texts are embedded.
+
+    Written: the plan of changes, the rows of added, changed and relabelled documents (metadata
+    alone changed; their vectors are copied, not embedded again), their chunks and vectors, and
+    tombstones of changed, relabelled and removed ones.  Unchanged documents cost a read of
+    their id, digest and metadata, and nothing written.
+    """
     spark, path, settings = index.spark, index.path, index.settings
-    new = Index(spark, path, _newest(spark, path)["version"] + 1, settings, index.embedder)
+    version = _newest(spark, path)["version"] + 1
+    new = Index(spark, path, version, settings, index.embedder, (*(index.layers or (index.version,)), version))
+    meta = lambda c: F.to_json(F.array_sort(F.map_entries(F.col(c))))
     try:
-        _write(with_sha(docs), path, new.version, "documents", "doc_id")
-        plan = refresh_plan(index.documents, new.documents)
+        fresh_docs = with_sha(docs)
+        old = index.documents.select("doc_id", F.col("content_sha").alias("_old"), meta("metadata").alias("_om"))
+        cur = fresh_docs.select("doc_id", F.col("content_sha").alias("_new"), meta("metadata").alias("_nm"))
+        state = (
+            F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed")
+            .when(F.col("_old") != F.col("_new"), "changed")
+            .when(~F.col("_om").eqNullSafe(F.col("_nm")), "relabelled").otherwise("unchanged")
+        )
+        plan = old.join(cur, "doc_id", "full_outer").select("doc_id", state.alias("state")).filter("state <> 'unchanged'")
         _write(plan, path, new.version, "plan")
         plan = spark.read.parquet(_folder(path, new.version, "plan"))
-        fresh = plan.filter(F.col("state").isin("added", "changed")).select("doc_id")
-        gone = plan.filter(F.col("state").isin("removed", "changed")).select("doc_id")
-        # Metadata may change without the text, so chunks are cut again; vectors are not.
-        _write(make_chunks(new.documents, settings), path, new.version, "chunks", "chunk_id")
-        kept = index.packed.join(
-            broadcast_if_small(gone, _MOST_BROADCAST), "doc_id", "left_anti"
-        )
-        made = make_vectors(
-            new.chunks.join(broadcast_if_small(fresh, _MOST_BROADCAST), "doc_id", "left_semi"),
-            new.embedder, on_error,
-        )
-        _write(
-            kept.select("chunk_id", "doc_id", "packed").unionByName(made),
-            path, new.version, "vectors",
-        )
+        _write(plan.filter("state <> 'added'").select("doc_id"), path, new.version, "tombstones")
+        written = plan.filter(F.col("state").isin("added", "changed", "relabelled")).select("doc_id")
+        _write(fresh_docs.join(broadcast_if_small(written, _MOST_BROADCAST), "doc_id", "left_semi"), path, new.version, "documents", "doc_id")
+        delta_docs = spark.read.schema(DOCUMENTS).parquet(_folder(path, new.version, "documents"))
+        _write(make_chunks(delta_docs, settings), path, new.version, "chunks", "chunk_id")
+        delta_chunks = spark.read.schema(CHUNKS).parquet(_folder(path, new.version, "chunks"))
+        embed = plan.filter(F.col("state").isin("added", "changed")).select("doc_id")
+        relabelled = plan.filter("state = 'relabelled'").select("doc_id")
+        made = make_vectors(delta_chunks.join(broadcast_if_small(embed, _MOST_BROADCAST), "doc_id", "left_semi"), new.embedder, on_error)
+        copied = index.packed.join(broadcast_if_small(relabelled, _MOST_BROADCAST), "doc_id", "left_semi")
+        _write(copied.select("chunk_id", "doc_id", "packed").unionByName(made), path, new.version, "vectors")
         return _commit(new)
     except Exception as e:
         raise RuntimeError(f"Index refresh failed: {e}") from e
+
+
+def compact(index: Index) -> Index:
+    """The merged tables of a delta written as a full version; a full version is returned as it is."""
+    if len(index.layers) <= 1:
+        return index
+    spark = index.spark
+    version = _newest(spark, index.path)["version"] + 1
+    full = Index(spark, index.path, version, index.settings, index.embedder)
+    _write(index.documents, index.path, version, "documents", "doc_id")
+    _write(index.chunks, index.path, version, "chunks", "chunk_id")
+    _write(index.packed, index.path, version, "vectors")
+    return _commit(full)
