@@ -103,7 +103,7 @@ def _anchor_rows(window: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(anchor), batch.column("k1").take(pa.array(owner)), batch.column("k2").take(pa.array(owner)),
-                    pa.array(start.astype(np.int32)), pa.array(length.astype(np.int8)), pa.array(times.astype(np.int8)),
+                    pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(times.astype(np.int32)),
                 ],
                 ["anchor", "k1", "k2", "start", "n", "times"],
             )
@@ -266,7 +266,7 @@ def kept_texts(
         raise ValueError(f"window must be positive, not {window}")
     plain = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(plain.alias("text")).select("text", *text_key(F.col("text")))
-    runs = cut_lineage(rows.mapInArrow(_anchor_rows(window), "anchor long, k1 long, k2 int, start int, n byte, times byte"))
+    runs = cut_lineage(rows.mapInArrow(_anchor_rows(window), "anchor long, k1 long, k2 int, start int, n int, times int"))
     # Copies of a text count here too, which only lets more anchors through.
     counts = runs.groupBy("anchor").agg(F.sum("times").alias("all_times")).filter("all_times > 1")
     again = (

@@ -80,6 +80,17 @@ def test_phrases(docs, empty):
     assert phrases.with_digest(empty).count() == 0
 
 
+def test_phrases_long_windows(spark):
+    """Run lengths and counts above a byte: two texts sharing 700 words lose them at any window."""
+    rng = random.Random(11)
+    shared = _words(rng, 700)
+    rows = [(1, f"{_words(rng, 50)} {shared} {_words(rng, 20)}"), (2, f"{_words(rng, 10)} {shared}"), (3, _words(rng, 400))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for window in (35, 140, 200, 300):
+        got = {r.doc_id: r.n_removed for r in phrases.with_digest(df, window=window).collect()}
+        assert got == {1: 700, 2: 700, 3: 0}, window
+
+
 def test_jaccard(docs, empty):
     rows = docs.select("doc_id", "text").collect()
     sets = []
