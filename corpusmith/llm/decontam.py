@@ -282,7 +282,8 @@ def drop_contaminated(
 ) -> DataFrame:
     """The documents, with all their columns, that hold no window of the benchmark.
 
-    The text itself is scanned, so rows with equal or missing ids are judged one by one.
+    The text itself is scanned, so rows with equal or missing ids are judged one by one.  Columns
+    of any name pass through unchanged; the private row number takes a name none of them has.
     """
     blocks = _blocks(benchmark, "item_id", "text", window, block_words)
     rows, following = next(blocks), next(blocks, None)
@@ -297,7 +298,11 @@ def drop_contaminated(
     if following is None:
         return docs.mapInArrow(clean, docs.schema)
     # Row numbers of the first block's clean documents; later blocks name the rows that go.
-    numbered = cut_lineage(docs.mapInArrow(clean, docs.schema).withColumn(_ROW, F.monotonically_increasing_id()))
+    # The row number's name is unlike any column of the documents.
+    row = _ROW
+    while row.lower() in {c.lower() for c in docs.columns}:
+        row += "_"
+    numbered = cut_lineage(docs.mapInArrow(clean, docs.schema).withColumn(row, F.monotonically_increasing_id()))
 
     def hit_rows(rows: list[tuple[str, bytes]]) -> DataFrame:
         shared = context.broadcast(rows)
@@ -306,16 +311,16 @@ def drop_contaminated(
             found = Windows(shared.value, window)
             for batch in pieces(batches, "text"):
                 gone = pa.array([bool(found.scan(t)[1]) for t in texts_of(batch)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(_ROW).filter(gone)], [_ROW])
+                yield pa.RecordBatch.from_arrays([batch.column(row).filter(gone)], [row])
 
-        out = cut_lineage(numbered.select(_ROW, "text").mapInArrow(hits, f"{_ROW} long"))
+        out = cut_lineage(numbered.select(row, "text").mapInArrow(hits, f"{row} long"))
         shared.destroy()
         return out
 
     gone = hit_rows(following)
     for rows in blocks:
         gone = gone.unionByName(hit_rows(rows))
-    return numbered.join(gone, _ROW, "left_anti").select(*docs.columns)
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def digest(item_ids: list[str]) -> str:

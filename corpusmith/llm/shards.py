@@ -64,6 +64,20 @@ def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
     return greedy_cuts(sums, low, shards)
 
 
+_MADE = ("size", "text_crc32", "shard", "slot")
+
+
+def _kept_name(column: str, keep: list[str]) -> str:
+    """A kept column's name in the result: its own, unless the operator makes one of that name."""
+    if column.lower() not in _MADE:
+        return column
+    taken = {c.lower() for c in (*keep, *_MADE)}
+    name = f"{column}_input"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def assign_shards(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -74,7 +88,9 @@ def assign_shards(
 ) -> DataFrame:
     """Every row with its shard and its slot (from 0, without holes) in it.
 
-    Columns: those of `keep`, doc_id, size, text_crc32, shard, slot.
+    Columns: those of `keep`, doc_id, size, text_crc32, shard, slot.  A kept column named like
+    one of the last four keeps its values under that name with `_input` added (and more `_` until
+    no column has it), so no name appears twice.
     """
     if shards < 1:
         raise ValueError(f"shards must be positive, not {shards}")
@@ -122,7 +138,7 @@ def assign_shards(
         placed.join(hot, ["cell", "part"], "left")
         .withColumn("slot", F.col("before") + F.coalesce("more", F.lit(0)) + rank - 1)
         .select(
-            *[F.col(f"keep_{c}").alias(c) for c in keep or []],
+            *[F.col(f"keep_{c}").alias(_kept_name(c, keep)) for c in keep or []],
             *([] if keep and doc_id in keep else ["doc_id"]),
             "size", "text_crc32", shard.cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
         )

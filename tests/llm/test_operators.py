@@ -461,3 +461,19 @@ def test_sql_gives_the_same(spark, name):
 
     folder = "/root/testdata/sf0.001"
     assert difference(QUERIES[name](spark, folder), connect(folder), SQL[name]) is None
+
+
+def test_clashing_names_in_shards_and_decontamination(spark):
+    rows = [(i, f"text {i} " * (i % 5), 7, "x", i * 2, -1) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size int, shard string, decontam_row long, slot int")
+    out = shards.assign_shards(df, shards=4, keep=df.columns)
+    assert len(out.columns) == len(set(out.columns))
+    got = out.collect()
+    assert {r.size_input for r in got} == {7} and {r.shard_input for r in got} == {"x"} and {r.slot_input for r in got} == {-1}
+    assert sorted(r.decontam_row for r in got) == [i * 2 for i in range(30)]
+    bench = spark.createDataFrame([("q1", "text 3 text 3 text 3"), ("q2", "text 4 text 4 text 4 text 4")], "item_id string, text string")
+    kept = decontam.drop_contaminated(df, bench, window=3, block_words=4)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.decontam_row) for r in kept.collect()) == sorted(
+        (i, i * 2) for i in range(30) if i not in (3, 4)
+    )
