@@ -478,6 +478,13 @@ def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tree_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as a tree of files and listed by levels, names and sizes only."""
+    root = new_folder(spark, "names")
+    _write_tree(spread(files(spark, sf_dir), "doc_id"), root)
+    return filetree.list_files(spark, root).select("rel_path", "dir", "name", "ext", "size")
+
+
 def written_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bundles written as files next to their tree, then read again."""
     root = new_folder(spark, "bundles")
@@ -558,6 +565,7 @@ QUERIES: dict[str, Query] = {
     "files_per_folder": files_per_folder,
     "bundle_by_directory": bundle_by_directory,
     "scan_tree": scan_tree,
+    "tree_names": tree_names,
     "written_bundles": written_bundles,
     "history_append": history_append,
     "history_replay": history_replay,

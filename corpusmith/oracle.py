@@ -383,6 +383,8 @@ def oracle_sql() -> dict[str, str]:
     SELECT dir, part_no, n_files, md5(text) AS text_md5 FROM bundle""",
         "scan_tree": f"""
     WITH {FILES} SELECT rel_path, dir, name, ext, strlen(content) AS size, sha256(content) AS content_sha FROM file""",
+        "tree_names": f"""
+    WITH {FILES} SELECT rel_path, dir, name, ext, strlen(content) AS size FROM file""",
         "written_bundles": f"""{BUNDLE}
     SELECT 'concated/' || dir || '/' || dir || '_concatenated'
         || CASE WHEN part_no > 0 THEN '.part' || lpad(CAST(part_no AS VARCHAR), 5, '0') ELSE '' END

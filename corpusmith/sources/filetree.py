@@ -1,10 +1,17 @@
 """A tree of files as a table.
 
-Listing and reading are two steps.  `list_files` is a Python data source: the driver
-only opens the top levels of the tree, executors walk the rest and return names and
-sizes.  Filters on those apply before `read_bodies` opens anything.  Between the steps
-the names are spread by hash, so a folder that holds most of the files is still read by
-the whole cluster.  Names starting with '_' or '.' are listed like all others.
+Listing and reading are two steps.  `list_files` walks the tree level by level: each level's
+folders are a table (the frontier), spread over tasks by hash, and the tasks list them; files
+found are appended to the listing table, folders found make the next frontier.  The driver sees
+counts only.  Linked folders are followed where their real path has not been listed yet (a
+visited table of real paths), so a link back up or a second link to one folder lists nothing
+twice.  The listing is written once and read from there by every later step.  Filters on names
+and sizes apply before `read_bodies` opens anything.  Between the steps the names are spread by
+hash, so a folder that holds most of the files is still read by the whole cluster.  Names
+starting with '_' or '.' are listed like all others.
+
+`FileTree`, a Python data source of the same listing whose driver opens the top levels, stays
+for readers that want `spark.read.format('filetree')`.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.paths import is_hidden
+from ..session import cut_lineage, new_folder
 
 FORMAT = "filetree"
 LISTING = T.StructType(
@@ -62,17 +70,74 @@ def list_files(
     recursive: bool = True,
     include_hidden: bool = False,
 ) -> DataFrame:
-    """Names and sizes of the files below root; no file is opened."""
-    spark.dataSource.register(FileTree)
-    files = (
-        spark.read.format(FORMAT)
-        .option("recursive", str(recursive).lower())
-        .option("tasks", str(2 * spark.sparkContext.defaultParallelism))
-        .load(root)
-    )
+    """Names and sizes of the files below root; no file is opened.  Written once, then read."""
+    files = list_levels(spark, root, recursive)
     return files if include_hidden else files.filter(~is_hidden("rel_path"))
 
 
+_FOUND = "kind string, path string, rel_path string, dir string, name string, ext string, size bigint, real string"
+
+
+def _list_level(base: str, shown: str):
+    """Entries of the folders of a frontier: files as listing rows, folders with their real path."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = open_folder(shown or "/")
+        local = isinstance(system, fs.LocalFileSystem)
+        cut = len(base.rstrip("/")) + 1
+        for batch in batches:
+            out: list[tuple] = []
+            for folder in batch.column("folder").to_pylist():
+                for info in system.get_file_info(fs.FileSelector(folder)):
+                    rel = info.path[cut:]
+                    if info.type == fs.FileType.Directory:
+                        real = os.path.realpath(info.path) if local else info.path
+                        out.append(("dir", info.path, rel, "", "", "", 0, real))
+                    elif info.type == fs.FileType.File:
+                        where, _, name = rel.rpartition("/")
+                        dot = name.rfind(".")
+                        ext = name[dot:] if 0 < dot < len(name) - 1 else ""
+                        out.append(("file", f"{shown}/{rel}", rel, where, name, ext, info.size or 0, None))
+                    if len(out) >= _ROWS:
+                        yield _found_batch(out)
+                        out = []
+            if out:
+                yield _found_batch(out)
+
+    return rows
+
+
+def _found_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string()] * 6 + [pa.int64(), pa.string()]
+    names = [f.split()[0] for f in _FOUND.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+
+def list_levels(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """All files below root (hidden ones too), by frontier tables; the listing as written."""
+    system, base = open_folder(root)
+    shown = root.rstrip("/")
+    local = isinstance(system, fs.LocalFileSystem)
+    out = new_folder(spark, "listing")
+    spark.createDataFrame([], LISTING).write.parquet(out)
+    start = os.path.realpath(base) if local else base
+    frontier = spark.createDataFrame([(base, start)], "folder string, real string")
+    visited = frontier.select("real")
+    while True:
+        spread = frontier.repartition("folder")
+        found = cut_lineage(spread.mapInArrow(_list_level(base, shown), _FOUND))
+        found.filter("kind = 'file'").select(*LISTING.names).write.mode("append").parquet(out)
+        if not recursive:
+            break
+        # One path per real folder, and none already listed.
+        folders = found.filter("kind = 'dir'").groupBy("real").agg(F.min("path").alias("folder"))
+        frontier = cut_lineage(folders.join(visited, "real", "left_anti").select("folder", "real"))
+        if frontier.isEmpty():
+            break
+        visited = cut_lineage(visited.unionByName(frontier.select("real")))
+    return spark.read.schema(LISTING).parquet(out)
+
+
 def read_bodies(
     files: DataFrame, partitions: int | None = None, universal_newlines: bool = False
 ) -> DataFrame:

@@ -61,6 +61,27 @@ def test_linked_folders_are_not_followed(spark, tmp_path):
     assert names(filetree.list_files(spark, str(tmp_path))) == ["a/x.py"]
 
 
+def test_linked_folders_are_listed_once(spark, tmp_path):
+    make(tmp_path / "tree", {"a/x.py": "x", "b/y.py": "y"})
+    make(tmp_path / "outside", {"o/z.py": "zz"})
+    root = tmp_path / "tree"
+    os.symlink(tmp_path / "outside", root / "a" / "link1")
+    os.symlink(tmp_path / "outside", root / "b" / "link2")
+    os.symlink(root, root / "b" / "loop")
+    got = names(filetree.list_files(spark, str(root)))
+    # The outside folder is listed once, under the smaller of its two paths; the loop adds nothing.
+    assert got == ["a/link1/o/z.py", "a/x.py", "b/y.py"]
+
+
+def test_listing_is_written_once(spark, tmp_path):
+    make(tmp_path, {"a/x.py": "x", "a/b/c/d.py": "d"})
+    listed = filetree.list_files(spark, str(tmp_path))
+    (tmp_path / "a" / "late.py").write_text("late")
+    # Read from the written listing, not walked again.
+    assert names(listed) == ["a/b/c/d.py", "a/x.py"] and names(listed) == ["a/b/c/d.py", "a/x.py"]
+    assert "FileScan parquet" in listed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_uris(spark, tree):
     for uri in ("file:" + tree, "file://" + tree):
         files = filetree.scan(spark, uri)
