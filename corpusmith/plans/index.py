@@ -113,7 +113,61 @@ def _folder(path: str, version: int, name: str) -> str:
 
 
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).parquet(f"{path.rstrip('/')}/manifest")
+    # Rows of older stores lie in the folder itself, newer ones in a folder per version.
+    return spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(f"{path.rstrip('/')}/manifest")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The Hadoop file system of path and the path as Hadoop sees it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _claims(spark: SparkSession, path: str) -> list[int]:
+    system, folder = _hadoop(spark, f"{path.rstrip('/')}/claims")
+    if not system.exists(folder):
+        return []
+    return [int(f.getPath().getName()) for f in system.listStatus(folder) if f.getPath().getName().isdigit()]
+
+
+def claim_version(spark: SparkSession, path: str) -> int:
+    """A version number nobody else has: claimed by creating a file that must not exist yet.
+
+    Two builds that start together try the same number; the file system lets one create it and
+    the other moves on to the next, so neither overwrites the other.
+    """
+    newest = _newest(spark, path)
+    version = max([newest["version"] if newest else 0, *_claims(spark, path)]) + 1
+    while True:
+        system, claim = _hadoop(spark, f"{path.rstrip('/')}/claims/{version:06d}")
+        try:
+            system.create(claim, False).close()
+            return version
+        except Exception as e:  # the JVM's FileAlreadyExistsException, through py4j
+            if "FileAlreadyExists" not in str(e) and not system.exists(claim):
+                raise
+            version += 1
+
+
+def sweep(spark: SparkSession, path: str, older_than_s: float = 86_400) -> list[int]:
+    """Removes version folders that no manifest row names and whose claim is older than the limit.
+
+    Such folders are left by builds that died; returns the versions removed.
+    """
+    import time
+
+    committed = {r["version"] for r in _manifest(spark, path).select("version").collect()} if _newest(spark, path) else set()
+    gone = []
+    for version in _claims(spark, path):
+        system, claim = _hadoop(spark, f"{path.rstrip('/')}/claims/{version:06d}")
+        age = time.time() - system.getFileStatus(claim).getModificationTime() / 1000
+        if version not in committed and age > older_than_s:
+            folder = _hadoop(spark, f"{path.rstrip('/')}/version={version:06d}")[1]
+            system.delete(folder, True)
+            system.delete(claim, False)
+            gone.append(version)
+    return sorted(gone)
 
 
 def _newest(spark: SparkSession, path: str):
@@ -163,8 +217,8 @@ def _commit(index: Index) -> Index:
         s.chunk_overlap, index.documents.count(), index.chunks.count(),
         "delta" if delta else "full", index.layers[-2] if delta else None,
     )
-    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(
-        f"{index.path.rstrip('/')}/manifest"
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").parquet(
+        f"{index.path.rstrip('/')}/manifest/v{index.version:06d}"
     )
     return index
 
@@ -192,8 +246,7 @@ def build_index(
     spark = docs.sparkSession
     settings = settings or Settings()
     embedder = embedder or hash_embedder(settings.dim)
-    newest = _newest(spark, path)
-    index = Index(spark, path, newest["version"] + 1 if newest else 1, settings, embedder)
+    index = Index(spark, path, claim_version(spark, path), settings, embedder)
     try:
         _write(with_sha(docs), path, index.version, "documents", "doc_id")
         _write(make_chunks(index.documents, settings), path, index.version, "chunks", "chunk_id")
@@ -208,11 +261,7 @@ def save_index(index: Index | None, path: str) -> None:
     if index is None:
         log.warning("No index to save")
         return
-    newest = _newest(index.spark, path)
-    target = Index(
-        index.spark, path, newest["version"] + 1 if newest else 1,
-        index.settings, index.embedder,
-    )
+    target = Index(index.spark, path, claim_version(index.spark, path), index.settings, index.embedder)
     _write(index.documents, path, target.version, "documents", "doc_id")
     _write(index.chunks, path, target.version, "chunks", "chunk_id")
     _write(index.packed, path, target.version, "vectors")
@@ -275,7 +324,7 @@ def refresh_index(index: Index, docs: DataFrame, on_error: str = "raise") -> Ind
     their id, digest and metadata, and nothing written.
     """
     spark, path, settings = index.spark, index.path, index.settings
-    version = _newest(spark, path)["version"] + 1
+    version = claim_version(spark, path)
     new = Index(spark, path, version, settings, index.embedder, (*(index.layers or (index.version,)), version))
     meta = lambda c: F.to_json(F.array_sort(F.map_entries(F.col(c))))
     try:
@@ -311,7 +360,7 @@ def compact(index: Index) -> Index:
     if len(index.layers) <= 1:
         return index
     spark = index.spark
-    version = _newest(spark, index.path)["version"] + 1
+    version = claim_version(spark, index.path)
     full = Index(spark, index.path, version, index.settings, index.embedder)
     _write(index.documents, index.path, version, "documents", "doc_id")
     _write(index.chunks, index.path, version, "chunks", "chunk_id")

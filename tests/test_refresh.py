@@ -56,3 +56,30 @@ def test_delta_of_nothing(spark, tmp_path):
     assert snapshot(v2) == snapshot(v1)
     v3 = I.refresh_index(v2, table([]))
     assert v3.documents.count() == 0 and v3.stored().count() == 0
+
+
+def test_concurrent_builds_both_survive(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    table = lambda rows: spark.createDataFrame(rows, DOCS)
+    path = str(tmp_path / "shared")
+    model = hash_embedder(64)
+    sets = [[(f"a{i}", f"first {i}", {}) for i in range(20)], [(f"b{i}", f"second {i}", {}) for i in range(30)]]
+    with ThreadPoolExecutor(2) as pool:
+        built = list(pool.map(lambda rows: I.build_index(table(rows), path, SETTINGS, model), sets))
+    assert len({b.version for b in built}) == 2
+    for b, rows in zip(built, sets):
+        assert sorted(r.doc_id for r in b.documents.collect()) == sorted(r[0] for r in rows)
+    assert sorted(r.version for r in I._manifest(spark, path).collect()) == sorted(b.version for b in built)
+    assert I.load_index(spark, path, model).version == max(b.version for b in built)
+
+
+def test_sweep_removes_what_a_dead_build_left(spark, tmp_path):
+    path = str(tmp_path / "s")
+    v1 = I.build_index(spark.createDataFrame([("a", "x", {})], DOCS), path, SETTINGS, hash_embedder(64))
+    dead = I.claim_version(spark, path)
+    spark.createDataFrame([("a", "x", {}, "s")], I.DOCUMENTS).write.parquet(I._folder(path, dead, "documents"))
+    assert I.sweep(spark, path, older_than_s=3600) == []
+    assert I.sweep(spark, path, older_than_s=-1) == [dead]
+    assert not (tmp_path / "s" / f"version={dead:06d}").exists()
+    assert I.load_index(spark, path).version == v1.version and I.claim_version(spark, path) == dead
