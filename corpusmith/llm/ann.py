@@ -69,8 +69,7 @@ class Tree:
             for u in np.unique(node[inner]):
                 at = np.nonzero(node == u)[0]
                 kids = np.arange(self.first[u], self.first[u] + self.count[u])
-                d = ((x[at, None, :] - self.centres[kids][None, :, :]) ** 2).sum(-1)
-                node[at] = kids[d.argmin(1)]
+                node[at] = kids[_distances(x[at], self.centres[kids]).argmin(1)]
 
     def best_bins(self, q: np.ndarray, probes: int) -> list[int]:
         """The first `probes` leaves of a best-bin-first search from q."""
@@ -89,20 +88,23 @@ class Tree:
         return found
 
 
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres, by |x|^2 - 2 x.c + |c|^2: memory of rows x centres only."""
+    return np.maximum((x * x).sum(1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(1)[None, :], 0.0)
+
+
 def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Labels of k-means with k-means++ starts."""
     rng = np.random.default_rng(seed)
-    centres = [x[rng.integers(len(x))]]
-    for _ in range(1, k):
-        d = np.min(((x[:, None, :] - np.array(centres)[None]) ** 2).sum(-1), 1)
-        if d.sum() <= 0:
-            break
-        centres.append(x[rng.choice(len(x), p=d / d.sum())])
-    c = np.array(centres)
+    c = x[[rng.integers(len(x))]]
+    d = _distances(x, c)[:, 0]
+    while len(c) < k and d.sum() > 0:
+        c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum())]])
+        d = np.minimum(d, _distances(x, c[-1:])[:, 0])
     for _ in range(ITERATIONS):
-        label = ((x[:, None, :] - c[None]) ** 2).sum(-1).argmin(1)
+        label = _distances(x, c).argmin(1)
         c = np.array([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(len(c))])
-    return ((x[:, None, :] - c[None]) ** 2).sum(-1).argmin(1)
+    return _distances(x, c).argmin(1)
 
 
 def fit_tree(sample: np.ndarray, leaf_size: int, seed: int = 7) -> Tree:
@@ -172,8 +174,10 @@ class Index:
         if not self.n:
             self.tree, self.parts = None, None
             return
-        picked = kept.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select(_augment(F.col("v"), self.top).alias("a")).collect()
-        sample = np.array([r["a"] for r in picked], dtype=np.float64)
+        # At most SAMPLE_ROWS vectors reach the driver, as one Arrow table.
+        picked = kept.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select(_augment(F.col("v"), self.top).alias("a")).toArrow()
+        column = picked.column("a").combine_chunks()
+        sample = column.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
         self.tree = fit_tree(sample, max(1, round(LEAF_ROWS * len(sample) / self.n)))
         shared = spark.sparkContext.broadcast(self.tree)
 
