@@ -13,7 +13,7 @@ from .functions import vectors as V
 from .functions.language import language_label
 from .functions.mime import with_mime_type
 from .functions.paths import base_name, parent, relative, suffix
-from .operators import bundle, corpus, history, ignore
+from .operators import bundle, corpus, history, ignore, pairs
 from .operators.chunking import chunk_lines, chunk_windows, line_numbers, with_links
 from .operators.embedding import hash_embedder, with_embedding
 from .operators.knn import nearest, nearest_to_one
@@ -36,6 +36,7 @@ IGNORE = ["*.md", "src1/", "src2/*/1*", "src[34]/fr/*", "!src5/en", "src6/d?/*",
 INCLUDED = [".py", ".js", ".java", ".cpp", ".h"]
 EXCLUDED = ["src8", "*7.py", ".git", "node_modules"]
 MAX_SIZE = 20000
+PAIR_COSINE = 0.4
 # Labels whose first vectors may be broadcast (about 30 MB).
 MOST_LABELS = 100_000
 
@@ -142,6 +143,12 @@ def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of vectors with a cosine of 0.4 or more, each pair once, by pivot rings."""
+    found = pairs.similar_pairs(table(spark, sf_dir, "embeddings"), threshold=PAIR_COSINE, method="cosine")
+    return found.select("left_id", "right_id", F.round("score", 6).alias("score"))
+
+
 def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return e.withColumn("u", V.normalize("embedding")).select(
@@ -532,6 +539,7 @@ QUERIES: dict[str, Query] = {
     "similarity_dot": _similarity("dot"),
     "similarity_euclidean": _similarity("euclidean"),
     "pair_similarity": pair_similarity,
+    "similar_pairs": similar_pairs,
     "normalize_vectors": normalize_vectors,
     "knn_single_query": knn_single_query,
     "vector_info": vector_info,

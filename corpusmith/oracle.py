@@ -221,6 +221,11 @@ def oracle_sql() -> dict[str, str]:
     SELECT q.vec_id, round({COSINE}, 6) AS cosine, round({dot}, 6) AS dot,
         round(0 - sqrt({squared}), 6) AS euclidean, round({squared}, 6) AS squared_l2
     FROM e q JOIN f x USING (label)""",
+        "similar_pairs": f"""
+    WITH e AS ({VEC})
+    SELECT q.vec_id AS left_id, x.vec_id AS right_id, round({COSINE}, 6) AS score
+    FROM e q JOIN e x ON q.vec_id < x.vec_id
+    WHERE {DOT.format(a='q.v', b='q.v')} > 0 AND {DOT.format(a='x.v', b='x.v')} > 0 AND {COSINE} >= {C.PAIR_COSINE}""",
         "normalize_vectors": f"""
     WITH e AS ({VEC}),
     u AS (SELECT vec_id, sqrt({DOT.format(a='v', b='v')}) AS n, v FROM e)
