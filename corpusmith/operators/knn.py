@@ -147,9 +147,9 @@ def _against_all(
             best.add(batch)
         yield from best.rows()
 
-    # Each task sends k rows per query, so no more tasks than keep the cluster busy.
-    tasks = 4 * q.sparkSession.sparkContext.defaultParallelism
-    return x.coalesce(tasks).mapInArrow(search, _best_schema(q, x))
+    # Each task of the vectors, as they are split upstream, sends k rows per query; the queries
+    # are few on this path (their size is checked), so those rows stay small beside the vectors.
+    return x.mapInArrow(search, _best_schema(q, x))
 
 
 def _grid(
