@@ -9,8 +9,10 @@
    one of them, and leaves the other in the partner t where it was (the first chunk) or moved by
    at most one (the second).  So t gives, for each length L' within one of its own, its grams at
    exactly those places: the first chunk's at 0, the second's at L'//2 - 1, L'//2 and L'//2 + 1.
-   Chunks meet grams by an equi-join on (L', which chunk, text); each candidate pair is checked
-   once by an edit distance bounded at one.
+   Chunks meet grams by an equi-join on (L', which chunk, text, and the first or else the last code
+   point of what the chunk leaves of the word: that rest is one edit apart at most and at least two
+   code points long, so one of its ends is the same).  Each candidate is checked by an edit
+   distance bounded at one where the join meets it.
 3. Forms.  A word's form is its near word of largest n (ties: smallest by code points) where that n
    is at least RATIO times its own; a form has a larger n than the word, so forms never loop.
    Roots follow forms by pointer jumping.
@@ -59,13 +61,17 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
     """(s, t): every ordered pair of distinct words one edit apart, found by chunks and grams."""
     length = F.char_length("word")
     half = (length / 2).cast("int")
+    last = F.substring("word", -1, 1)
+    # Each chunk with the first and the last code point of what it leaves of the word.
     chunks = vocab.select(
         "word", length.alias("len"),
         F.explode(F.array(
-            F.struct(F.lit(1).alias("which"), _cut(F.col("word"), F.lit(0), half).alias("piece")),
-            F.struct(F.lit(2).alias("which"), _cut(F.col("word"), half).alias("piece")),
+            F.struct(F.lit(1).alias("which"), _cut(F.col("word"), F.lit(0), half).alias("piece"),
+                     F.substring("word", half + 1, 1).alias("first"), last.alias("last")),
+            F.struct(F.lit(2).alias("which"), _cut(F.col("word"), half).alias("piece"),
+                     F.substring("word", 1, 1).alias("first"), F.substring("word", half, 1).alias("last")),
         )).alias("c"),
-    ).select(F.col("word").alias("s"), "len", "c.which", "c.piece")
+    ).select(F.col("word").alias("s"), "len", "c.which", "c.piece", "c.first", "c.last")
     # For each partner length L' within one: the first chunk's gram at 0, the second's near L'//2.
     grams = vocab.select(
         "word", length.alias("own"),
@@ -77,11 +83,24 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
     other_half = (F.col("len") / 2).cast("int")
     start = F.when(F.col("which") == 1, F.lit(0)).otherwise(other_half + F.col("shift"))
     size = F.when(F.col("which") == 1, other_half).otherwise(F.col("len") - other_half)
+    rest_first = F.when(F.col("which") == 1, F.substring("t", other_half + 1, 1)).otherwise(F.substring("t", 1, 1))
+    rest_last = F.when(F.col("which") == 1, F.substring("t", -1, 1)).otherwise(F.substring("t", start, 1))
     grams = grams.filter((F.col("len") >= MIN_LENGTH) & (start >= 0) & (start + size <= F.col("own"))).select(
-        "t", "len", "which", _cut(F.col("t"), start, size).alias("piece")
+        "t", "len", "which", _cut(F.col("t"), start, size).alias("piece"), rest_first.alias("first"), rest_last.alias("last")
     )
-    found = chunks.join(grams, ["len", "which", "piece"]).filter(F.col("s") != F.col("t")).select("s", "t").dropDuplicates()
-    return found.filter(F.levenshtein("s", "t", 1) == 1)
+    # The rest of the word besides the kept chunk is at least two code points long on both sides
+    # and one edit apart at most, so its first or its last code point is the same in both.
+    # Rows of the join are a word and one 64-bit key of (length, chunk, text, end): a collision
+    # only adds a candidate, which the check of the edit distance takes out again.
+    ends = lambda df, word: df.select(
+        word, F.explode(F.array(
+            F.xxhash64("len", "which", "piece", F.lit("<"), "first"), F.xxhash64("len", "which", "piece", F.lit(">"), "last"),
+        )).alias("key"),
+    )
+    found = ends(chunks, "s").join(ends(grams, "t"), "key")
+    # Verified where the join meets them, so only true pairs reach the shuffle that makes them one.
+    found = found.filter((F.col("s") != F.col("t")) & (F.levenshtein("s", "t", 1) == 1))
+    return found.select("s", "t").dropDuplicates()
 
 
 def variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

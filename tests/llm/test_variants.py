@@ -33,10 +33,22 @@ def brute(rows):
             if len(r) >= 7:
                 n[r] += 1
     vocab = {w: c for w, c in n.items() if c >= 2}
-    by_len = {}
+    # Plain deletion neighbourhoods: a replacement leaves one string at one place deleted from
+    # both words, an insertion makes the shorter word a deletion of the longer.
+    same_cut, cuts = {}, {}
     for w in vocab:
-        by_len.setdefault(len(w), []).append(w)
-    near = {w: [t for d in (-1, 0, 1) for t in by_len.get(len(w) + d, []) if _one_edit(w, t)] for w in vocab}
+        for i in range(len(w)):
+            d = w[:i] + w[i + 1:]
+            same_cut.setdefault((d, i), set()).add(w)
+            cuts.setdefault(d, set()).add(w)
+    near = {}
+    for w in vocab:
+        found = set().union(*(same_cut[(w[:i] + w[i + 1:], i)] for i in range(len(w))))
+        found |= {w[:i] + w[i + 1:] for i in range(len(w))} & vocab.keys()
+        found |= cuts.get(w, set())
+        found.discard(w)
+        assert all(_one_edit(w, t) for t in found)
+        near[w] = sorted(found)
     form = {}
     for w, ts in near.items():
         best = min(ts, key=lambda t: (-vocab[t], t), default=None)
