@@ -391,11 +391,9 @@ def chunk_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The message after loading the collection."""
-    docs = table(spark, sf_dir, "documents")
-    status, message = corpus.load_status(docs.count())
-    return docs.groupBy().agg(F.count("*").alias("n_documents")).select(
-        "n_documents", F.lit(status).alias("status"), F.lit(message).alias("message")
-    )
+    counted = table(spark, sf_dir, "documents").groupBy().agg(F.count("*").alias("n_documents"))
+    status, message = corpus.load_status_columns(F.col("n_documents"))
+    return counted.select("n_documents", status.alias("status"), message.alias("message"))
 
 
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

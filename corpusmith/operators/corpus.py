@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import (
@@ -42,6 +42,15 @@ def files_per_folder(files: DataFrame) -> DataFrame:
     return files.groupBy("dir").agg(F.count("*").alias("n_files"))
 
 
+def load_status_columns(n_documents: Column) -> tuple[Column, Column]:
+    """Status and message of a count, as columns: the same answers as `load_status`, in one aggregate."""
+    status = F.when(n_documents == 0, F.lit("empty")).otherwise(F.lit("ok"))
+    message = F.when(n_documents == 0, F.lit(NO_DOCUMENTS_MESSAGE)).otherwise(
+        F.concat(F.lit(SUCCESS_PREFIX), n_documents.cast("string"), F.lit(SUCCESS_SUFFIX))
+    )
+    return status, message
+
+
 def load_status(n_documents: int | None) -> tuple[str, str]:
     """Status and message after loading a folder; None for a folder that is missing."""
     if n_documents is None:

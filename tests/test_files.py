@@ -223,3 +223,10 @@ def test_large_folder_in_parts_is_whole(spark, tmp_path):
         assert "\n".join(r["text"] for r in hot) == want
         # A part of 7 bytes is shorter than any file, also than that of the small folder.
         assert [r["part_no"] for r in rows if r["dir"] == "small"] == [0]
+
+
+def test_load_status_columns_equal_the_driver_answer(spark):
+    for n in (0, 1, 7):
+        df = spark.createDataFrame([(n,)], "n long")
+        status, message = corpus.load_status_columns(df["n"])
+        assert tuple(df.select(status, message).first()) == corpus.load_status(n)
