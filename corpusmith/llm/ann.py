@@ -15,8 +15,8 @@
 4. Search.  For every query, best-bin-first: descend to the nearest leaf, pushing the other
    branches on a priority queue by distance to their centre; pop the nearest and go on until
    `probes` leaves are found.  Queries meet the rows of their leaves by an equi-join on (leaf,
-   part); inner products are taken in double precision on the original vectors, and the K best of
-   each query kept (ties: smaller vec_id).
+   part, query block); each group's inner products are one product of matrices in double precision
+   on the original vectors, and the K best of each query kept (ties: smaller vec_id).
 5. Calibration.  `probes` starts at 1 and doubles until the recall on up to CAL_QUERIES queries
    (smallest hashes of their ids; their exact answers by a scan of all rows) reaches
    TARGET_RECALL, or all leaves are visited, which is exact.
@@ -47,6 +47,7 @@ CAL_QUERIES = 256
 TARGET_RECALL = 0.95
 ITERATIONS = 12
 SALTS = 64
+QUERY_BLOCK = 2_048
 
 
 class Tree:
@@ -144,10 +145,6 @@ def _augment(v: Column, top: float) -> Column:
     return F.concat(v, F.array(F.sqrt(F.greatest(F.lit(top * top) - F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), F.lit(0.0)))))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def _best(pairs: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -200,7 +197,7 @@ class Index:
 
     def search(self, queries: DataFrame, probes: int) -> DataFrame:
         """query_id, rank, vec_id, score: the K best found in `probes` leaves of every query (id, v)."""
-        shared, top = self.shared, self.top
+        shared, k = self.shared, self.k
 
         def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tree = shared.value
@@ -212,22 +209,40 @@ class Index:
                     leaves += found
                 yield pd.DataFrame({"query_id": pd.Series(ids, dtype="int64"), "leaf": pd.Series(leaves, dtype="int64")})
 
+        # Queries meet a leaf's part in blocks of at most about QUERY_BLOCK, so no group grows
+        # with the query set; the part's rows are sent once to each block.
+        blocks = max(1, -(-queries.count() // QUERY_BLOCK))
         visits = queries.select("id", "v").mapInPandas(bins, "query_id long, leaf long")
         visits = visits.join(self.parts, "leaf").select(
-            "query_id", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+            "query_id", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+            F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
         )
-        # Each visit carries its query's vector, so candidate pairs are shuffled once, as scores.
         qv = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-        pairs = visits.join(qv, "query_id").join(self.members, ["leaf", "part"]).filter(F.col("vec_id") != F.col("query_id"))
-        scored = pairs.select("query_id", "vec_id", _dot(F.col("q"), F.col("v")).alias("score"))
-        return _best(scored, self.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        asks = visits.join(qv, "query_id")
+        rows = self.members.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1))))
+
+        def score(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            """The K best of each query among one part's rows, by one product of matrices."""
+            if asked.empty or held.empty:
+                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            q = np.array(asked["q"].tolist(), dtype=np.float64)
+            m = np.array(held["v"].tolist(), dtype=np.float64)
+            ids, qids = held["vec_id"].to_numpy(), asked["query_id"].to_numpy()
+            s = q @ m.T
+            out_q, out_v, out_s = [], [], []
+            for r in range(len(q)):
+                mine = ids != qids[r]
+                order = np.lexsort((ids[mine], -s[r][mine]))[:k]
+                out_q.append(np.full(len(order), qids[r])), out_v.append(ids[mine][order]), out_s.append(s[r][mine][order])
+            return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
+
+        keys = ["leaf", "part", "block"]
+        scored = asks.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
+        return _best(scored, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
     def exact(self, queries: DataFrame) -> DataFrame:
-        """The same columns by a scan of all kept rows (for a bounded set of queries)."""
-        qv = F.broadcast(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")))
-        pairs = self.members.join(qv, F.col("vec_id") != F.col("query_id"))
-        scored = pairs.select("query_id", "vec_id", _dot(F.col("q"), F.col("v")).alias("score"))
-        return _best(scored, self.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        """The same columns with every leaf visited: a scan of all kept rows (for a bounded set of queries)."""
+        return self.search(queries, self.tree.n_leaves)
 
     def calibrate(self, queries: DataFrame) -> tuple[int, float]:
         """The fewest doubling probes whose recall on CAL_QUERIES queries reaches TARGET_RECALL."""
