@@ -132,9 +132,8 @@ def _similarity(method: str) -> Query:
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All measures between each vector and the first vector of its label."""
     e = table(spark, sf_dir, "embeddings")
-    ids = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    ids = broadcast_if_small(ids, MOST_LABELS)
-    first = e.join(ids, ["label", "vec_id"]).select("label", F.col("embedding").alias("other"))
+    # The first vector of each label in one aggregate, combined before the shuffle.
+    first = cut_lineage(e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("other")))
     pair = e.join(broadcast_if_small(first, MOST_LABELS), "label")
     return pair.select(
         "vec_id",
