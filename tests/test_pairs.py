@@ -51,3 +51,34 @@ def test_pairs_of_two_tables(spark):
                 if u_ @ v_ / np.linalg.norm(u_) / np.linalg.norm(v_) >= 0.6:
                     want.add((i, j))
     assert got == want
+
+
+def test_blocks_meet_once(spark, monkeypatch):
+    """Many small blocks, copies, an id held twice and vectors of another size: each pair once, scores exact."""
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 7)
+    rows = _rows(150, 5)
+    rows += [(200 + i, [1.0, 2.0, 0.5]) for i in range(9)] + [(160 + i, rows[3][1]) for i in range(20)] + [(7, rows[8][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    f32 = [(i, None if v is None else [float(np.float32(x)) for x in v]) for i, v in rows]
+    for method, t in (("cosine", 0.4), ("dot", -1.0), ("euclidean", -2.0)):
+        got = sorted((r.left_id, r.right_id, round(r.score, 6)) for r in pairs.similar_pairs(df, threshold=t, method=method).collect())
+        want = []
+        usable = [(i, np.array(v)) for i, v in f32 if i is not None and v is not None and (method != "cosine" or any(v))]
+        for x, (i, a) in enumerate(usable):
+            for j, b in usable[x + 1:]:
+                if i != j and len(a) == len(b):
+                    if method == "cosine":
+                        s = a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+                    else:
+                        s = a @ b if method == "dot" else -np.linalg.norm(a - b)
+                    if s >= t:
+                        want.append((min(i, j), max(i, j), round(float(s), 6)))
+        assert got == sorted(want)
+
+
+def test_no_row_per_candidate_pair(spark):
+    """Vectors the rings cannot part are compared in cells: no join makes a row per pair of vectors."""
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=16)]) for i in range(400)], "vec_id long, embedding array<float>")
+    plan = pairs.similar_pairs(df, threshold=0.4)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan
