@@ -25,12 +25,16 @@ from ..session import cut_lineage
 INDEX_METHOD = "l2"
 # Order among neighbours is by the value rounded to this many digits, then by id.
 DIGITS = 9
-BROADCAST_BYTES = 64 << 20
+# Query vectors a task holds, as doubles, broadcast or as a block of the grid: its memory does
+# not grow with the number of queries.
+BROADCAST_BYTES = 8 << 20
 BLOCK_QUERIES = 16384
 # Vectors one cell of the grid streams, roughly at most.
 SLICE_ROWS = 1 << 22
 # Cells of a product of queries and vectors held at once in a task.
 BLOCK_CELLS = 1 << 22
+# Entries of chosen pairs computed exactly at once.
+EXACT_CELLS = 1 << 20
 UNUSABLE = "a vector has an entry that is NULL, NaN, infinite or too large"
 
 
@@ -65,11 +69,12 @@ def nearest(
     # read, so they are written once.
     q = cut_lineage(queries.select(F.col(query_id).alias("q_id"), F.col(query_vector).alias("v")))
     x = vectors.select(F.col(vector_id).alias("x_id"), F.col(vector).alias("v"))
-    fits = _collect_if_small(q, broadcast_bytes)
-    if fits is not None:
-        best = _against_all(q, x, fits, k, method)
+    count, held = _measured(q)
+    if held <= broadcast_bytes:
+        best = _against_all(q, x, q.toArrow(), k, method)
     else:
-        best = _grid(q, x, k, method, block_queries, cells)
+        blocks = max(1, -(-count // block_queries), -(-held // BROADCAST_BYTES))
+        best = _grid(q, x, k, method, blocks, cells)
     window = Window.partitionBy("q_id").orderBy("key", "x_id")
     value = (
         F.col("key").alias("distance")
@@ -113,14 +118,12 @@ def nearest_to_one(
     )
 
 
-def _collect_if_small(q: DataFrame, limit: int) -> pa.Table | None:
-    """The queries as an Arrow table if their vectors fit the limit, else None."""
+def _measured(q: DataFrame) -> tuple[int, int]:
+    """The number of queries and the bytes of their vectors as doubles, by the widest."""
     packed = isinstance(q.schema["v"].dataType, T.BinaryType)
     width = F.octet_length("v") / 4 if packed else F.size("v")
     size = q.agg(F.count("*").alias("n"), F.max(width).alias("width")).first()
-    if size["n"] * (size["width"] or 1) * 8 > limit:
-        return None
-    return q.toArrow()
+    return size["n"], int(size["n"] * (size["width"] or 1) * 8)
 
 
 def _best_schema(q: DataFrame, x: DataFrame) -> T.StructType:
@@ -153,11 +156,10 @@ def _against_all(
 
 
 def _grid(
-    q: DataFrame, x: DataFrame, k: int, method: str, block_queries: int, cells: int | None
+    q: DataFrame, x: DataFrame, k: int, method: str, blocks: int, cells: int | None
 ) -> DataFrame:
     """Queries in blocks times vectors in slices; every pair meets in exactly one cell."""
     spark = q.sparkSession
-    blocks = max(1, -(-q.count() // block_queries))
     wanted = cells or 4 * spark.sparkContext.defaultParallelism
     slices = max(1, -(-wanted // blocks), -(-x.count() // SLICE_ROWS))
     q_side = q.select(
@@ -261,22 +263,32 @@ class _Best:
 
     def __init__(self, ids: pa.Array, matrix: np.ndarray, k: int, method: str):
         self.ids, self.k, self.method = ids, k, method
-        self.matrix = matrix.astype(np.float64)
-        self.squares = _finite(_squares(self.matrix))
+        self.matrix = matrix
+        self.squares = _finite(_squares(matrix))
         self.length = np.sqrt(self.squares)
-        factor = np.ones(len(matrix))
-        if method == "cosine":
-            factor = np.divide(1.0, self.length, out=factor, where=self.length > 0)
-        elif method != "dot":
-            factor *= 2.0
-        self.left = -factor[:, None] * self.matrix
-        if method in (INDEX_METHOD, "euclidean"):
-            # One more column adds the squares of the rows inside the product.
-            self.left = np.column_stack([self.left, np.ones(len(matrix))])
-        self.left32 = self.left.astype(np.float32)
+        self.left32 = self._left(np.float32)
+        # In double precision only where rows ask for it.
+        self.left64: np.ndarray | None = None
         self.bound = np.full(len(matrix), np.inf)
         self.kept: pa.Table | None = None
 
+    def _left(self, kind: type) -> np.ndarray:
+        """The queries as the sifting product takes them."""
+        factor = np.ones(len(self.matrix))
+        if self.method == "cosine":
+            factor = np.divide(1.0, self.length, out=factor, where=self.length > 0)
+        elif self.method != "dot":
+            factor *= 2.0
+        # One more column adds the squares of the rows inside the product.
+        extra = self.method in (INDEX_METHOD, "euclidean")
+        left = np.ones((len(self.matrix), self.matrix.shape[1] + extra), dtype=kind)
+        step = max(1, EXACT_CELLS // max(1, self.matrix.shape[1]))
+        with np.errstate(over="ignore"):
+            for start in range(0, len(left), step):
+                rows = slice(start, start + step)
+                left[rows, : self.matrix.shape[1]] = -factor[rows, None] * self.matrix[rows].astype(np.float64)
+        return left
+
     @classmethod
     def of(cls, tables: list[pa.Table], k: int, method: str) -> _Best | None:
         """For the queries that have a vector; None where there are none."""
@@ -321,7 +333,9 @@ class _Best:
         squares = _finite(_squares(rows))
         longest = np.sqrt(squares.max())
         single = rows.dtype == np.float32 and max(longest, self.length.max()) < 1e15
-        left = self.left32 if single else self.left
+        if not single and self.left64 is None:
+            self.left64 = self._left(np.float64)
+        left = self.left32 if single else self.left64
         own: np.ndarray | float = 0.0
         if self.method == "cosine":
             length = np.sqrt(squares)
@@ -350,12 +364,13 @@ class _Best:
     def _exact(self, q: np.ndarray, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """The keys of chosen pairs without the cancellation of the block product."""
         out = np.empty(len(q))
-        step = max(1, BLOCK_CELLS // max(1, rows.shape[1]))
+        step = max(1, EXACT_CELLS // max(1, rows.shape[1]))
         for start in range(0, len(q), step):
-            a = self.matrix[q[start : start + step]]
+            a = self.matrix[q[start : start + step]].astype(np.float64)
             b = rows[x[start : start + step]].astype(np.float64)
             if self.method in (INDEX_METHOD, "euclidean"):
-                value = np.einsum("ij,ij->i", a - b, a - b)
+                a -= b
+                value = np.einsum("ij,ij->i", a, a)
                 if self.method == "euclidean":
                     value = np.sqrt(value)
             else:

@@ -177,3 +177,34 @@ def test_one_query_leaves_out_null_vectors_and_fails_on_other_sizes(spark):
         nearest_to_one(table(spark, [*rows, (4, [1.0])]), [1.0, 0.0], 3).collect()
     with pytest.raises(ValueError, match="NaN"):
         nearest_to_one(table(spark, rows), [float("nan"), 0.0], 3)
+
+
+def test_a_task_holds_a_bounded_block_of_queries(spark, monkeypatch):
+    """More queries than a block are cut into a grid by default, also by the width of their vectors."""
+    from corpusmith.operators import knn
+
+    held, grid = [], knn._grid
+    monkeypatch.setattr(knn, "_against_all", lambda *a: pytest.fail("all queries went to every task"))
+    monkeypatch.setattr(knn, "_grid", lambda *a: held.append(a[4]) or grid(*a))
+    wide = spark.range(3000).select(F.col("id").alias("query_id"), F.array_repeat(F.col("id").cast("float"), 500).alias("embedding"))
+    few = spark.range(7).select(F.col("id").alias("vec_id"), F.array_repeat(F.col("id").cast("float"), 500).alias("embedding"))
+    got = nearest(wide, few, 1).filter("query_id < 4").collect()
+    assert sorted((r.query_id, r.vec_id) for r in got) == [(i, i) for i in range(4)]
+    assert held == [2]
+
+
+def test_exact_keys_take_little_memory():
+    import tracemalloc
+
+    from corpusmith.operators.knn import _Best
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 64)).astype(np.float32)
+    best = _Best(pa.array(np.arange(4000)), x, 5, "l2")
+    q, other = np.divmod(np.arange(200_000), 50)
+    tracemalloc.start()
+    best._exact(q, other, x[:50])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
