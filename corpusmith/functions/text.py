@@ -1,7 +1,11 @@
-"""Column functions on texts."""
+"""Column functions on texts, and the ranges of a batch of texts by bytes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,3 +36,16 @@ def header_block(path: Column, rel_path: Column, body: Column) -> Column:
         F.lit("// Source: "), path, F.lit("\n// Relative path: "), rel_path,
         F.lit("\n"), body, F.lit("\n"),
     )
+
+
+def byte_ranges(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Start and end of runs of rows with at most `limit` bytes of text (or one row)."""
+    sizes = pc.binary_length(texts).fill_null(0).to_pylist()
+    start, held = 0, 0
+    for row, size in enumerate(sizes):
+        if row > start and held + size > limit:
+            yield start, row
+            start, held = row, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)

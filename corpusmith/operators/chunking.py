@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import tokens
+from ..functions.text import byte_ranges, tokens
 from ..settings import CHUNK_OVERLAP, CHUNK_SIZE, check_chunking
 
 # A token of a line, the complement of the blanks.
 _TOKEN = r"[^ \t\r\f\x0B\n]+"
-# Text bytes cut at a time; chunks of one piece stay far below Arrow's 2 GB.
-_PIECE_BYTES = 32 << 20
+# Text bytes cut at a time: lines, chunks and counts take several times as much.
+_PIECE_BYTES = 4 << 20
 
 _CHUNK_FIELDS = [
     T.StructField("chunk_no", T.IntegerType(), False),
@@ -147,16 +147,8 @@ def with_links(chunks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def _pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with a bounded number of text bytes (or one row)."""
-    sizes = pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)
-    start, held = 0, 0
-    for row, size in enumerate(sizes.tolist()):
-        if held and held + size > _PIECE_BYTES:
-            yield batch.slice(start, row - start)
-            start, held = row, 0
-        held += size
-    if start < batch.num_rows:
-        yield batch.slice(start)
+    for start, end in byte_ranges(batch.column(text), _PIECE_BYTES):
+        yield batch.slice(start, end - start)
 
 
 def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import byte_ranges
 from ..settings import BATCH_SIZE, VECTOR_DIM
 
-# Texts hashed at a time: the matrix of counts stays small.
+# Texts hashed at a time, and bytes of them: the matrix of counts and the list of words stay small.
 _HASH_ROWS = 8192
+_HASH_BYTES = 4 << 20
 # Bytes as they count in a lower-case text: word characters stay, all others part words.
 _WORD_BYTES = np.full(256, ord(" "), dtype=np.uint8)
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789_":
@@ -171,12 +173,17 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 def _hash_words(texts: pa.Array, dim: int) -> np.ndarray:
     """Signed word counts per position; the caller scales them to unit length."""
+    ranges = byte_ranges(texts, _HASH_BYTES)
+    return np.concatenate([np.zeros((0, dim)), *(_hash_piece(texts.slice(s, e - s), dim) for s, e in ranges)])
+
+
+def _hash_piece(texts: pa.Array, dim: int) -> np.ndarray:
     lists = pc.ascii_split_whitespace(_only_words(texts))
     words = lists.flatten().dictionary_encode()
     row = np.repeat(
         np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     )
-    # Every distinct word of the batch is hashed once.
+    # Every distinct word of the piece is hashed once.
     distinct = words.dictionary.to_pylist()
     codes = np.array(
         [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in distinct], dtype=np.int64

@@ -99,3 +99,31 @@ def test_packed_vectors(spark):
     assert [r["p"] and len(r["p"]) for r in packed.orderBy("i").collect()] == [8, None, 8, bytearray()]
     back = packed.select("i", unpack("p").alias("v")).orderBy("i").collect()
     assert [tuple(r) for r in back] == rows
+
+
+def test_hashing_takes_memory_by_pieces_of_text():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusmith.operators import embedding as E
+
+    texts = pa.array([f"w{i % 97} x{i % 89} y " * 700 for i in range(4000)])
+    tracemalloc.start()
+    whole = E._hash_words(texts, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert np.array_equal(whole, np.concatenate([E._hash_words(texts.slice(i, 500), 8) for i in range(0, 4000, 500)]))
+
+
+def test_chunking_holds_pieces_of_text():
+    import pyarrow as pa
+
+    from corpusmith.operators import chunking
+
+    batch = pa.record_batch({"content": pa.array(["a line\n" * 10_000] * 400 + ["", "b"])})
+    pieces = list(chunking._pieces(batch, "content"))
+    assert sum(p.num_rows for p in pieces) == batch.num_rows
+    assert max(p.column("content").nbytes for p in pieces) <= 5 << 20
