@@ -10,7 +10,8 @@
    inner product.
 3. Tree.  Fitted on at most SAMPLE_ROWS usable rows (the smallest hashes of vec_id, a documented
    bound): k-means with BRANCH centres splits a node until it holds what LEAF_ROWS rows of the whole
-   table would make.  Every usable row is then put in a leaf by descending to the nearest centre;
+   table would make, or one part in LEAF_PARTS of it if that is more: the number of leaves, and with
+   it the visits of a query, stay bounded, and what grows with the table are the matrices of a leaf.  Every usable row is then put in a leaf by descending to the nearest centre;
    leaves above SPLIT_ROWS are split into salted parts, so no part of the join is larger.
 4. Search.  For every query, best-bin-first: descend to the nearest leaf, pushing the other
    branches on a priority queue by distance to their centre; pop the nearest and go on until
@@ -42,6 +43,7 @@ QUERY_EVERY = 20
 SAMPLE_ROWS = 50_000
 BRANCH = 16
 LEAF_ROWS = 64
+LEAF_PARTS = 64
 SPLIT_ROWS = 2_048
 CAL_QUERIES = 256
 TARGET_RECALL = 0.95
@@ -150,6 +152,11 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def leaf_rows(n: int) -> int:
+    """Rows of a table of n that a leaf may hold before it is split."""
+    return max(LEAF_ROWS, -(-n // LEAF_PARTS))
+
+
 class Index:
     """The fitted tree and every usable row in its leaf and part."""
 
@@ -175,7 +182,7 @@ class Index:
         picked = kept.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select(_augment(F.col("v"), self.top).alias("a")).toArrow()
         column = picked.column("a").combine_chunks()
         sample = column.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-        self.tree = fit_tree(sample, max(1, round(LEAF_ROWS * len(sample) / self.n)))
+        self.tree = fit_tree(sample, max(1, round(leaf_rows(self.n) * len(sample) / self.n)))
         shared = spark.sparkContext.broadcast(self.tree)
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,6 +239,9 @@ class Index:
             out_q, out_v, out_s = [], [], []
             for r in range(len(q)):
                 mine = ids != qids[r]
+                if len(ids) > 4 * k:
+                    # Only those as good as the k-th are sorted, all of its ties included.
+                    mine &= s[r] >= np.partition(np.where(mine, s[r], -np.inf), -k)[-k]
                 order = np.lexsort((ids[mine], -s[r][mine]))[:k]
                 out_q.append(np.full(len(order), qids[r])), out_v.append(ids[mine][order]), out_s.append(s[r][mine][order])
             return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})

@@ -62,3 +62,10 @@ def test_nearest_small_and_empty(spark):
     assert got == [(0, 1, 40, 1.0), (0, 2, 20, 0.5), (0, 3, 3, 0.2), (20, 1, 0, 0.5), (20, 2, 40, 0.5), (20, 3, 3, 0.15),
                    (40, 1, 0, 1.0), (40, 2, 20, 0.5), (40, 3, 3, 0.2)]
     assert ann.nearest(df.limit(0)).count() == 0
+
+
+def test_number_of_leaves_does_not_grow_with_the_table():
+    """Vectors without clusters: visits of a query are bounded by the leaves, which stay as many."""
+    rng = np.random.default_rng(2)
+    leaves = [ann.fit_tree(rng.normal(size=(n, 16)), ann.leaf_rows(n)).n_leaves for n in (5_000, 20_000)]
+    assert leaves[1] < 1.5 * leaves[0]
